@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, packing, simhash
+from . import decontaminate, language_id, licences, line_dedup, packing, pii, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2,
     "op3_packing": packing.op3,
+    "op4_pii": pii.op4,
     "op7_language_id": language_id.op7,
     "op8_simhash": simhash.op8,
     "op9_decontaminate": decontaminate.op9,
+    "op10_licences": licences.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_licences": licences.oracle_sql()}
