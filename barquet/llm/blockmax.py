@@ -35,31 +35,36 @@ class BlockMaxIndex:
             bounds[self.block[a:b]] += q * self.block_max[a:b]
         return bounds
 
-    def _score(self, block: int, query: list[tuple[int, float]]) -> np.ndarray:
-        scores = np.zeros(min(BLOCK, self.n_entries - block * BLOCK))
+    def _scores(self, query: list[tuple[int, float]], blocks: np.ndarray) -> np.ndarray:
+        """Exact scores of the entries of the blocks that ``blocks`` (a mask) names; zero elsewhere."""
+        scores = np.zeros(self.n_entries)
         for t, q in query:
-            a, b = self.block_start[t], self.block_start[t + 1]
-            at = a + np.searchsorted(self.block[a:b], block)
-            if at < b and self.block[at] == block:
-                x, y = self.block_first[at], self.block_first[at + 1]
-                scores[self.entries[x:y] - block * BLOCK] += q * self.weights[x:y]
+            a, b = self.start[t], self.start[t + 1]
+            own = self.entries[a:b]
+            wanted = blocks[own // BLOCK]
+            scores[own[wanted]] += q * self.weights[a:b][wanted]
         return scores
 
     def above(self, query: list[tuple[int, float]], threshold: float) -> list[tuple[int, float]]:
         """All (entry, score) of at least ``threshold``, a positive number."""
-        out = []
-        for block in np.flatnonzero(self._bounds(query) >= threshold - 1e-9).tolist():
-            scores = self._score(block, query)
-            out += [(block * BLOCK + k, float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-9).tolist()]
-        return out
+        blocks = self._bounds(query) >= threshold - 1e-9
+        if not blocks.any():
+            return []
+        scores = self._scores(query, blocks)
+        return [(int(k), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-9)]
 
     def top(self, query: list[tuple[int, float]], k: int) -> list[tuple[int, float]]:
         """The ``k`` best (entry, score) with a score above zero; ties go to the first entry."""
-        bounds, best = self._bounds(query), []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][1] - 1e-12:
-                break
-            scores = self._score(block, query)
-            best += [(block * BLOCK + e, float(scores[e])) for e in np.flatnonzero(scores > 0).tolist()]
-            best = sorted(best, key=lambda x: (-x[1], x[0]))[:k]
-        return best
+        bounds = self._bounds(query)
+        if not self.n_blocks or bounds.max() <= 0:
+            return []
+        blocks = np.zeros(self.n_blocks, bool)
+        blocks[np.argsort(-bounds, kind="stable")[: 2 + k // BLOCK]] = True  # the most promising blocks set the bar
+        scores = self._scores(query, blocks)
+        bar = max(1e-12, np.partition(scores, -k)[-k] if len(scores) >= k else 0.0)
+        rest = ~blocks & (bounds >= bar - 1e-12)
+        if rest.any():
+            scores += self._scores(query, rest)
+        found = np.flatnonzero(scores > 0)
+        found = found[np.argsort(-scores[found], kind="stable")][:k]
+        return [(int(e), float(scores[e])) for e in found]

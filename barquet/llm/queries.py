@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licences, line_dedup, media, packing, pii, simhash
+from . import decontaminate, language_id, licences, line_dedup, media, packing, pii, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_packing": packing.op3,
     "op4_pii": pii.op4,
+    "op5_suffix_dedup": suffix_dedup.op5,
     "op6_media": media.op6,
     "op7_language_id": language_id.op7,
     "op8_simhash": simhash.op8,
