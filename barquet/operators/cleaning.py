@@ -82,7 +82,7 @@ HOT_DAYS = {"1m": 30, "5m": 90, "15m": 180, "1h": 730, "4h": 1825, "1d": 3650}
 def retention_split(bars: DataFrame, now: int, hot_days: dict[str, int] = HOT_DAYS) -> tuple[DataFrame, DataFrame]:
     """(hot, cold) bars, by age and timeframe."""
     days = F.coalesce(F.create_map(*[F.lit(x) for pair in hot_days.items() for x in pair])[F.col("tf")], F.lit(30))
-    hot = F.col("t") >= now - days * DAY_MS
+    hot = F.col("t") >= now - days.cast("long") * DAY_MS
     return bars.filter(hot), bars.filter(~hot)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, study
 
-QUERIES: dict = {**market.QUERIES}
-ORACLE_SQL: dict[str, str] = {**market.ORACLE_SQL}
+QUERIES: dict = {**market.QUERIES, **study.QUERIES}
+ORACLE_SQL: dict[str, str] = {**market.ORACLE_SQL, **study.ORACLE_SQL}
