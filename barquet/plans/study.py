@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.series import DAY_MS, SERIES, in_order, rounded
 from ..operators import cleaning as C
+from ..operators import features as X
 from ..operators import indicators as I
 from ..operators import learning as L
 from ..operators import news as N
@@ -14,6 +16,7 @@ from ..operators import predictions as P
 from ..operators import profile as V
 from ..operators import scoring as M
 from ..operators import statistics as T
+from ..operators import structure as S
 from ..sources.bars import event_bars, lineitem_bars, table
 from .sql import BARS, W, lag
 
@@ -365,3 +368,80 @@ def platt_isotonic(spark, sf_dir):
 def anti_patterns(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), (F.col("label") % 2 == 0).alias("mistake"))
     return rounded(L.anti_patterns(emb, k=4).drop("centroid"), ["radius", "hit_rate"], 4)
+
+
+def _full(spark, sf_dir) -> DataFrame:
+    return I.moving(I.stochastic(M.prepared(lineitem_bars(spark, sf_dir))))
+
+
+@query("feature_matrix")
+def feature_matrix(spark, sf_dir):
+    bars = _full(spark, sf_dir)
+    piv = S.pivots(bars)
+    zones = S.zone_mitigation(S.fvg_zones(bars), bars)
+    blocks = S.zone_mitigation(S.order_blocks(bars, piv), bars)
+    return rounded(X.feature_matrix(bars, S.structure_breaks(bars, piv), zones, blocks, piv), X.NAMES, 5)
+
+
+@query("wyckoff")
+def wyckoff(spark, sf_dir):
+    return X.classify_wyckoff(X.compression(I.bull_features(I.bands(I.recursive(lineitem_bars(spark, sf_dir)))))).select(*KEY, "phase", "bias", "compressed")
+
+
+@query("purged_kfold", f"""
+with {BARS}, {_LABELS}, x as (select symbol, tf, i, coalesce(t1, i) e, count(*) over (partition by symbol, tf) n from lab), y as (select *, least(4, i // (n // 5))::int own from x),
+f as (select symbol, tf, own fold, min(i) a, max(i) b, max(e) far from y group by 1, 2, 3)
+select y.symbol, y.tf, y.i, fold, case when own = fold then 'test' else 'train' end as role from y join f on f.symbol = y.symbol
+where own = fold or ((e < a or i > b) and not (i > b and i <= least(n - 1, greatest(far, b) + 3)))
+""")
+def purged_kfold(spark, sf_dir):
+    return X.purged_kfold(_labelled(spark, sf_dir), embargo=3)
+
+
+@query("meta_labels", f"with {BARS}, {_LABELS}, p as (select symbol, i, sign(c - o) s from b) select lab.symbol, lab.tf, lab.i, (s <> 0 and s = case touched when 'upper' then 1 when 'lower' then -1 else 0 end)::int meta from lab join p on p.symbol = lab.symbol and p.i = lab.i")
+def meta_labels(spark, sf_dir):
+    bars = S.indexed(lineitem_bars(spark, sf_dir)).select(*SERIES, "i", (F.col("c") - F.col("o")).alias("signal"))
+    return X.meta_labels(_labelled(spark, sf_dir), bars)
+
+
+@query("macro_state", f"""
+with {BARS}, m as (select * from (values ('S1', 0.25, -1), ('S2', 0.25, 1), ('S3', 0.2, -1), ('S4', 0.15, -1)) v(symbol, w, s)),
+r as (select b.symbol, t, c, w, s, row_number() over (partition by b.symbol order by t desc) r from b join m on m.symbol = b.symbol), e as (select symbol, w::double w, s * tanh((arg_max(c, t) / avg(c) - 1) * 8) x from r where r <= 20 group by symbol, w, s having count(*) >= 3),
+z as (select sum(w) coverage, sum(x * w) / sum(w) score from e) select round(score, 6) score, case when score >= 0.15 then 'risk-on' when score <= -0.15 then 'risk-off' else 'mixed' end as label, round(coverage, 6) coverage from z
+""")
+def macro_state(spark, sf_dir):
+    closes = lineitem_bars(spark, sf_dir).select(F.col("symbol").alias("proxy"), "t", F.col("c").alias("close"))
+    return rounded(X.macro_state(closes, proxies={"S1": (0.25, -1), "S2": (0.25, 1), "S3": (0.2, -1), "S4": (0.15, -1)}), ["score", "coverage"])
+
+
+@query("rolling_conformal", f"""
+with {BARS}, {_RET}, {_PRED}, x as (select symbol, tf, t, abs(nx - r) s from pred), y as (select symbol, tf, t, list_sort(list(s) over (partition by symbol, tf order by t rows between 100 preceding and 1 preceding)) l from x)
+select symbol, tf, t, round(coalesce(l[ceil((len(l) + 1) * 0.9 - 1e-9)::int], 'infinity'::double), 6) q from y
+""")
+def rolling_conformal(spark, sf_dir):
+    scores = _predicted(spark, sf_dir).withColumn("score", F.abs(F.col("nx") - F.col("r")))
+    return rounded(X.rolling_conformal(scores, 100).select(*KEY, "q"), ["q"])
+
+
+@query("forecasts")
+def forecasts(spark, sf_dir):
+    """Paths from each series' 100th bar before its end, and how they were met."""
+    scored = M.orchestrate(M.module_signals(M.prepared(lineitem_bars(spark, sf_dir))))
+    w = Window.partitionBy(*SERIES).orderBy(F.desc("t"))
+    start = X.expected_move(scored).withColumn("_r", F.row_number().over(w)).filter("_r = 100").withColumn("step_ms", F.lit(DAY_MS))
+    graded = X.grade_ghosts(X.ghost_forecast(start), lineitem_bars(spark, sf_dir))
+    return rounded(graded, ["coverage", "mae", "direction_hit"], 4)
+
+
+@query("head_and_shoulders")
+def head_and_shoulders(spark, sf_dir):
+    bars = S.indexed(I.recursive(lineitem_bars(spark, sf_dir)))
+    last = bars.groupBy(*SERIES).agg(F.max("i").alias("last_i"), F.max_by("c", "t").alias("c"), F.max_by("atr14", "t").alias("atr14"))
+    return rounded(X.head_and_shoulders(S.pivots(bars.drop("i")), last), ["neckline", "target", "invalidation"], 4)
+
+
+@query("bias_grid")
+def bias_grid(spark, sf_dir):
+    bars = event_bars(spark, sf_dir).unionByName(event_bars(spark, sf_dir, "4h", 14_400_000))
+    scored = M.orchestrate(M.module_signals(M.prepared(bars)))
+    return rounded(X.bias_grid(scored, ["1h", "4h"]), ["1h", "4h"])
