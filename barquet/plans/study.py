@@ -17,6 +17,7 @@ from ..operators import profile as V
 from ..operators import scoring as M
 from ..operators import statistics as T
 from ..operators import structure as S
+from ..operators import structure_signals as G
 from ..sources.bars import event_bars, lineitem_bars, table
 from .sql import BARS, W, lag
 
@@ -445,3 +446,20 @@ def bias_grid(spark, sf_dir):
     bars = event_bars(spark, sf_dir).unionByName(event_bars(spark, sf_dir, "4h", 14_400_000))
     scored = M.orchestrate(M.module_signals(M.prepared(bars)))
     return rounded(X.bias_grid(scored, ["1h", "4h"]), ["1h", "4h"])
+
+
+@query("structure_scores")
+def structure_scores(spark, sf_dir):
+    bars = S.indexed(I.recursive(lineitem_bars(spark, sf_dir)))
+    last = bars.groupBy(*SERIES).agg(F.max_by(F.struct("t", "i", "c", "atr14"), "t").alias("b")).select(*SERIES, "b.*")
+    plain = bars.drop("i")
+    piv = S.pivots(plain)
+    tol = last.select(*SERIES, (F.col("atr14") * 0.25).alias("tolerance"))
+    parts = [
+        G.support_resistance(last, S.sr_levels(piv, tol)), G.order_blocks(last, S.zone_mitigation(S.order_blocks(plain, piv), plain)), G.liquidity(last, S.sweeps(S.liquidity_levels(piv, tol), plain)),
+        G.premium_discount(S.premium_discount(plain, piv)), G.trendline(last, S.trendlines(piv)), G.candle_patterns(last, S.candle_patterns(plain)),
+    ]
+    signals = parts[0]
+    for part in parts[1:]:
+        signals = signals.unionByName(part)
+    return rounded(G.fuse(signals, last), ["score", "confidence", "probability"], 5)
