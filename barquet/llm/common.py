@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lost executors can't take it along."""
+    """Write ``df`` as a table in the shared folder and read it again: lost executors can't take it along.
+
+    What was shuffled to make it isn't needed any more. Spark drops such files when the driver's JVM
+    collects its garbage, so that is asked for; else they would add up over the steps of an operator.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    if jvm := getattr(spark.sparkContext, "_jvm", None):
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

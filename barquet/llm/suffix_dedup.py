@@ -228,30 +228,38 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(1), text).alias("text_hash2"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, ranges): byte ranges [start, end) of repeats, in any order, they may overlap.
 
-    Rows without an id are no source and lose nothing; rows that share an id aren't compared with
-    each other; repeated rows lose the same.
+    A text that a smaller id has too is repeated as a whole, so only the first document of
+    each text goes through the family. Rows without an id are no source and lose nothing; rows that
+    share an id aren't compared with each other; repeated rows lose the same.
     """
     spark = docs.sparkSession
     n = common.partitions_for(spark)
     keyed = _keyed(docs).filter(F.col("doc_id").isNotNull())
+    same = common.cut(keyed.groupBy("doc_id", "text_hash", "text_hash2").agg(F.max(F.octet_length("text")).alias("n_bytes")))
+    firsts = same.groupBy("text_hash", "text_hash2").agg(F.min("doc_id").alias("first_id"))
+    firsts = common.cut(firsts)
     anchors = keyed.select("doc_id", "text").mapInArrow(_anchors, "key long, h long, doc_id long, known boolean")
     shared = anchors.repartition(n, "key").mapInArrow(_shared, "doc_id long, h long")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("h").alias("shared"))
-    found = keyed.join(shared, "doc_id").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "shared")
+    shared = shared.groupBy("doc_id").agg(F.collect_list("h").alias("shared")).join(firsts.select(F.col("first_id").alias("doc_id"), "text_hash", "text_hash2"), "doc_id")
+    found = keyed.join(shared, ["doc_id", "text_hash", "text_hash2"]).dropDuplicates(["doc_id", "text_hash", "text_hash2"]).select("doc_id", "text", "text_hash", "shared")
     stretches = common.cut(found.mapInArrow(_stretches, "h long, sid binary, bytes binary, doc_id long, text_hash long, start long"))
-    firsts = stretches.select("h", "sid", "bytes", "doc_id").mapInArrow(_once, "h long, sid binary, bytes binary, doc_id long")
-    firsts = firsts.repartition(n, "h").mapInArrow(_firsts, "sid binary, offsets array<long>, lengths array<long>, firsts array<long>")
-    places = stretches.select("sid", "doc_id", "text_hash", "start").join(firsts, "sid")
+    least = stretches.select("h", "sid", "bytes", "doc_id").mapInArrow(_once, "h long, sid binary, bytes binary, doc_id long")
+    least = least.repartition(n, "h").mapInArrow(_firsts, "sid binary, offsets array<long>, lengths array<long>, firsts array<long>")
+    places = stretches.select("sid", "doc_id", "text_hash", "start").join(least, "sid")
     runs = F.filter(F.arrays_zip("offsets", "lengths", "firsts"), lambda x: x["firsts"] < F.col("doc_id"))
     ranges = F.transform(runs, lambda x: F.struct((F.col("start") + x["offsets"]).alias("start"), (F.col("start") + x["offsets"] + x["lengths"] + (LENGTH - 1)).alias("end")))
     places = places.select("doc_id", "text_hash", ranges.alias("ranges")).filter(F.size("ranges") > 0)
-    return places.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    parts = places.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    copies = same.join(firsts, ["text_hash", "text_hash2"]).filter((F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")))
+    return common.cut(parts.unionByName(copies.select("doc_id", "text_hash", whole.alias("ranges"))))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
