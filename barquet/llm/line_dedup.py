@@ -2,11 +2,13 @@
 
 A line's normal form is lower case with single spaces. Two lines are alike if the Jaccard
 similarity of their sets of character shingles (``WIDTH`` characters at every position) is
-``THRESHOLD`` or more. Signatures take only the shingles that begin at places fixed by the text
-(starts of words, see ``_anchored``), ``BANDS`` bands of ``ROWS`` minima each; lines that share a
-band are candidates, and the exact similarity over all shingles decides. One line of every connected component stays: the first by (doc_id, line number).
+``THRESHOLD`` or more. Signatures are minima over all shingles of a line, ``BANDS`` bands of
+``ROWS`` minima each; lines that share a band are candidates, and the exact similarity decides.
+One line of every connected component stays: the first by (doc_id, line number).
 
-Permutations of the shingle hashes are XORs with fixed constants.
+A permutation orders the shingle hashes by their upper five bits, which an odd factor and a
+summand deal anew, and then by the rest. So only the least hash of each of the ``BINS`` values of
+those bits can be a minimum, and one pass over the sorted hashes serves all permutations.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ BAND_ROWS = 2000
 #: Rows of (hash) that a broadcast may hold, 16 bytes each in Spark's own layout and some overhead.
 BROADCAST_ROWS = 200_000
 
-_EVERY = "(?=(.{%d}))" % WIDTH
-_ANCHORS = r"(?<=[ \x80-\uFFFF])(?=([^a-m].{%d}))" % (WIDTH - 1)
+#: Values of a shingle hash's upper bits, and the bits below them.
+BINS, BELOW = 32, 59
 
 
 def normal(line: Column) -> Column:
@@ -40,18 +42,17 @@ def normal(line: Column) -> Column:
     return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.trim(F.regexp_replace(line, r"[\s\u00a0]+", " "))).otherwise(line)
 
 
-def _all_shingles(line: Column) -> Column:
-    return F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1)))
+def _hashes(line: Column) -> Column:
+    """A hash of each shingle; a line shorter than a shingle is one. In UTF-32, where a place in the line is a place in its bytes."""
+    wide = F.array(F.encode(line, "UTF-32"))
+    places = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * WIDTH + 1), F.lit(4))
+    return F.transform(wide, lambda b: F.transform(places(b), lambda at: F.xxhash64(F.substring(b, at, 4 * WIDTH))))[0]
 
 
-def _anchored(line: Column) -> Column:
-    """The shingles at fixed kinds of places: after a space or a character beyond ASCII, unless it begins with a to m.
-
-    Where these are fewer than one in 32 characters (long words), or the line is short, all shingles.
-    """
-    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(_ANCHORS), F.lit(1))
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when((F.length(line) < 6 * WIDTH) | (words * 16 < F.length(line)), _all_shingles(line)).otherwise(found)
+def _least_of_bins(hashes: Column) -> Column:
+    """The least hash of each bin, of sorted hashes."""
+    bin_of = lambda h: F.shiftright(h, BELOW)
+    return F.filter(hashes, lambda h, k: (k == 0) | (bin_of(h) != bin_of(F.get(hashes, k - 1))))
 
 
 def _keys() -> list[Column]:
@@ -69,16 +70,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, h1, h2, blank, bands) for each line; bands: a hash of each band's minima, null if blank."""
     place = ["doc_id", "text_hash", "line_no", "h1", "h2"]
-    hashes = lines.select(*place, F.transform(_anchored(F.col("line")), lambda s: F.xxhash64(s)).alias("_h"), (F.col("line") == "").alias("blank"))
-    # fixed values: any constants that are far apart do
-    flips = [((k * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64)) - (1 << 63) for k in range(BANDS * ROWS)]
-    least = [F.array_min(F.transform("_h", _flip(c))) for c in flips]
+    hashes = lines.select(*place, F.sort_array(_hashes(F.col("line"))).alias("_h"), (F.col("line") == "").alias("blank"))
+    hashes = hashes.select(*place, "blank", _least_of_bins(F.col("_h")).alias("_h"))
+    # fixed values: any odd factors and different summands do
+    deals = [(2 * (7 * k % (BINS // 2)) + 1, 11 * k % BINS) for k in range(BANDS * ROWS)]
+    least = [F.array_min(F.transform("_h", _dealt(*x))) for x in deals]
     bands = F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
     return hashes.select(*place, "blank", F.when(~F.col("blank"), bands).alias("bands"))
 
 
-def _flip(by: int):
-    return lambda h: h.bitwiseXOR(F.lit(by))
+def _dealt(factor: int, summand: int):
+    """The hash with its bin dealt anew."""
+    return lambda h: F.shiftleft((F.shiftrightunsigned(h, BELOW) * factor + summand).bitwiseAND(F.lit(BINS - 1)), BELOW).bitwiseOR(h.bitwiseAND(F.lit((1 << BELOW) - 1)))
 
 
 def candidates(signed: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def similar_lines(lines: DataFrame, signed: DataFrame, threshold: float = THRESH
 
 
 def _set(line: Column) -> Column:
-    return F.array_distinct(F.transform(_all_shingles(line), lambda s: F.xxhash64(s)))
+    return F.array_distinct(_hashes(line))
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

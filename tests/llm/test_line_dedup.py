@@ -100,3 +100,38 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def recall(spark, pairs):
+    """The share of ``pairs`` of alike lines that end up in one class, each pair being a document of two lines."""
+    rows = [(k, "\n".join(p)) for k, p in enumerate(pairs)]
+    got = {(r.doc_id, r.line_no): r.class_doc_id for r in line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).filter("kept").collect()}
+    assert all(similarity(normal(a), normal(b)) >= line_dedup.THRESHOLD for a, b in pairs)
+    return sum((k, 1) not in got for k in range(len(pairs))) / len(pairs)
+
+
+def words(r, letters, n, least=2, most=8):
+    line = ""
+    while len(line) < n:
+        line += " " * bool(line) + "".join(r.choice(letters) for _ in range(r.randint(least, most)))
+    return line[: n - 1] + r.choice(letters)  # no blank at the end
+
+
+def test_alike_lines_of_all_lengths_meet(spark):
+    r = random.Random(5)
+    pairs = [(line := words(r, "abcdefghijklmnopqrstuvwxyz", r.randint(55, 60)), line + r.choice(["!", "!!!", " more"])) for _ in range(200)]
+    assert recall(spark, pairs) >= 0.97
+
+
+def test_alike_lines_without_certain_letters_meet(spark):
+    r = random.Random(6)
+    pairs = [(line := words(r, "abcdefghijklm", r.randint(70, 120)), line + r.choice(["!", "!!!", " bad"])) for _ in range(100)]
+    long = [(line := words(r, "abcdefghijklmnopqrstuvwxyz", 150, 20, 40), line[:-3]) for _ in range(100)]
+    assert recall(spark, pairs + long) >= 0.97
+
+
+def test_shingles_are_characters_at_every_position(spark):
+    line = "naïve 日本語 😀 " + "some words of a line that is not short " * 2
+    got = spark.createDataFrame([(1, line), (2, line[1:])], "doc_id long, text string")
+    sets = line_dedup.lines_of(got).select(line_dedup._set(line_dedup.F.col("line")).alias("s")).collect()
+    assert sorted(len(x.s) for x in sets) == sorted(len(shingles(normal(x))) for x in (line, line[1:]))
