@@ -4,7 +4,9 @@ A line's normal form is lower case with single spaces. Two lines are alike if th
 similarity of their sets of character shingles (``WIDTH`` characters at every position) is
 ``THRESHOLD`` or more. Signatures are minima over all shingles of a line, ``BANDS`` bands of
 ``ROWS`` minima each; lines that share a band are candidates, and the exact similarity decides.
-One line of every connected component stays: the first by (doc_id, line number).
+Every two lines of a band are compared unless links already join them: a few neighbours first, then
+all pairs whose lines lie in different components. One line of every connected component stays: the
+first by (doc_id, line number).
 
 A permutation orders the shingle hashes by their upper five bits, which an odd factor and a
 summand deal anew, and then by the rest. So only the least hash of each of the ``BINS`` values of
@@ -22,11 +24,11 @@ from .components import connected_components
 
 WIDTH = 10
 THRESHOLD = 0.8
-BANDS = 5
+BANDS = 6
 ROWS = 3
-#: Neighbours in a band, in the order of another band, that a line is compared with besides the band's first line.
+#: Neighbours in a band, in the order of another band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 4
-#: Rows of a band that one window sorts, about; larger bands are salted by that order.
+#: Rows of a band that one window sorts, about; larger bands are salted by that order. Pairs of parts of as many rows meet later.
 BAND_ROWS = 2000
 #: Rows of (hash) that a broadcast may hold, 16 bytes each in Spark's own layout and some overhead.
 BROADCAST_ROWS = 200_000
@@ -84,16 +86,20 @@ def _dealt(factor: int, summand: int):
     return lambda h: F.shiftleft((F.shiftrightunsigned(h, BELOW) * factor + summand).bitwiseAND(F.lit(BINS - 1)), BELOW).bitwiseOR(h.bitwiseAND(F.lit((1 << BELOW) - 1)))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (u, v) of h1, u > v, of different lines that share a band.
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(band, h1, next, first, last) of each different line in each band of two or more; next: the line's hash of another band."""
+    each = [F.struct(F.col("bands")[b].alias("band"), F.col("bands")[(b + 1) % BANDS].alias("next")) for b in range(BANDS)]
+    rows = signed.filter(~F.col("blank")).select("h1", F.explode(F.array(*each)).alias("x")).select("h1", "x.band", "x.next")
+    shared = rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first < last")
+    return common.cut(rows.join(_small(common.cut(shared)), "band").distinct())
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of h1, u > v, to be compared first, of the rows of ``shared_bands``.
 
     In a band of more than two lines, each meets the band's first line and its ``NEIGHBOURS``
     predecessors in the order of the next band's hash.
     """
-    each = [F.struct(F.col("bands")[b].alias("band"), F.col("bands")[(b + 1) % BANDS].alias("next")) for b in range(BANDS)]
-    rows = signed.filter(~F.col("blank")).select("h1", F.explode(F.array(*each)).alias("x")).select("h1", "x.band", "x.next")
-    shared = rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first < last")
-    rows = common.cut(rows.join(_small(common.cut(shared)), "band").distinct())
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 2")
     pairs = rows.filter("h1 = last").select(F.col("h1").alias("u"), F.col("first").alias("v"))
     more = rows.join(sizes, "band").withColumn("salt", F.when(F.col("n") > BAND_ROWS, F.pmod(F.col("next"), F.ceil(F.col("n") / BAND_ROWS))).otherwise(F.lit(0)))
@@ -103,14 +109,33 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.unionByName(near).distinct()
 
 
+def apart(rows: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (u, v) of h1, u > v, of all lines that share a band, are in different components and aren't in ``done``.
+
+    rows: of ``shared_bands``; roots: (node, root) of the lines that have links. A large band is
+    divided into parts, and each pair of parts is joined by itself.
+    """
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > NEIGHBOURS + 1)  # in smaller ones all lines were neighbours
+    own = rows.join(sizes, "band").select("band", "h1").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("root", "h1").alias("c"))
+    mixed = own.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
+    parts = F.ceil(F.col("n") / BAND_ROWS).cast("int")
+    own = common.cut(own.join(mixed.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
+    cells = own.select("band", "h1", "c", "part", F.explode(cells).alias("x")).select("band", "h1", "c", "part", "x.i", "x.j")
+    a, b = cells.alias("a"), cells.alias("b")
+    met = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("band", "i", "j")]
+    once = (F.col("a.part") != F.col("b.part")) | (F.col("a.i") == F.col("a.j"))
+    pairs = a.join(b, met[0] & met[1] & met[2] & once & (F.col("a.h1") > F.col("b.h1")) & (F.col("a.c") != F.col("b.c")))
+    return pairs.select(F.col("a.h1").alias("u"), F.col("b.h1").alias("v")).distinct().join(done, ["u", "v"], "left_anti")
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """``rows`` to be broadcast, if they are few; else for Spark to shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def similar_lines(lines: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (u, v, similarity) of hashes of different lines that are alike."""
-    pairs = common.cut(candidates(signed))
+def similar_lines(lines: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v, similarity) of those ``pairs`` (u, v) of hashes of different lines that are alike."""
     nodes = common.cut(pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct())
     texts = common.cut(lines.select("h1", "line").join(_small(nodes), "h1", "left_semi").dropDuplicates(["h1"]))
     # the texts travel, not their shingles: these are many times as long
@@ -120,6 +145,23 @@ def similar_lines(lines: DataFrame, signed: DataFrame, threshold: float = THRESH
     return alike.select("u", "v", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def alike(lines: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of all lines that have a link: the component of each hash of a line, named by its smallest."""
+    rows = shared_bands(signed)
+    first = common.cut(candidates(rows))
+    roots = common.cut(connected_components(similar_lines(lines, first, threshold).select("u", "v")))
+    rest = common.cut(apart(rows, roots, first))
+    if rest.isEmpty():
+        return roots
+    links = similar_lines(lines, rest, threshold)
+    for x in ("u", "v"):
+        links = links.join(roots.select(F.col("node").alias(x), "root"), x, "left").withColumn(x, F.coalesce("root", x)).select("u", "v")
+    joined = common.cut(connected_components(links))
+    # a line that had no link before is a node of ``joined`` only
+    both = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return both.unionByName(joined.join(roots.select("node"), "node", "left_anti"))
+
+
 def _set(line: Column) -> Column:
     return F.array_distinct(_hashes(line))
 
@@ -132,7 +174,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     lines = lines_of(docs.select("doc_id", "text"))
     signed = common.cut(signatures(lines))
-    roots = connected_components(similar_lines(lines, signed, threshold).select("u", "v"))
+    roots = alike(lines, signed, threshold)
     places = signed.filter(~F.col("blank")).join(_small(common.cut(roots)).withColumnRenamed("node", "h1"), "h1", "left")
     places = places.select("doc_id", "text_hash", "line_no", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"))
     place = F.struct("doc_id", "line_no", "text_hash")

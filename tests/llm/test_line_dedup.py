@@ -135,3 +135,22 @@ def test_shingles_are_characters_at_every_position(spark):
     got = spark.createDataFrame([(1, line), (2, line[1:])], "doc_id long, text string")
     sets = line_dedup.lines_of(got).select(line_dedup._set(line_dedup.F.col("line")).alias("s")).collect()
     assert sorted(len(x.s) for x in sets) == sorted(len(shingles(normal(x))) for x in (line, line[1:]))
+
+
+def test_every_pair_of_a_hot_band_is_compared(spark, monkeypatch):
+    """Lines of one band in pairs of alike ones: whatever lies between them, each meets its copy."""
+    n = 60
+    r = random.Random(7)
+    base = [words(r, "abcdefghijklmnopqrstuvwxyz", 80) for _ in range(n)]
+    rows = [(k * 2 + i, text) for i in (0, 1) for k, text in enumerate(x + "!" * i for x in base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (line_dedup.BAND_ROWS, 50):  # whole, and in several parts
+        monkeypatch.setattr(line_dedup, "BAND_ROWS", part)
+        own = line_dedup.lines_of(docs)
+        F = line_dedup.F
+        # all in one band; in the order of the other, copies are far from one another
+        hot = F.array(F.lit(1).cast("long"), *[F.xxhash64("h1", F.lit(b)) for b in range(1, line_dedup.BANDS)])
+        signed = own.select("doc_id", "text_hash", "line_no", "h1", "h2", (F.col("line") == "").alias("blank"), hot.alias("bands"))
+        got = {x.node: x.root for x in line_dedup.alike(own, signed).collect()}
+        names = {x.doc_id: x.h1 for x in own.collect()}
+        assert all(got[names[2 * k]] == got[names[2 * k + 1]] == min(names[2 * k], names[2 * k + 1]) for k in range(n))
