@@ -68,12 +68,38 @@ def test_empty_table(spark):
 
 
 def test_levels_stay_few():
-    family, r = S.SuffixFamily(), S.np.random.default_rng(1)
+    r = S.np.random.default_rng(1)
+    data = r.integers(0, 255, 64 * 150, dtype=S.np.uint8)
+    family = S.SuffixFamily(data)
     for k in range(64):
-        family.add(r.integers(0, 255, (100, S.LENGTH), dtype=S.np.uint8), S.np.full(100, k))
+        family.add(S.np.arange(100) + 150 * k, S.np.full(100, k))
     assert len(family.levels) <= 8 and sum(len(x[0]) for x in family.levels) == 6400
 
 
+def test_suffix_array_is_the_sorted_order():
+    r = S.np.random.default_rng(2)
+    data = r.integers(97, 99, 4000, dtype=S.np.uint8)
+    data[1000:2000] = data[:1000]
+    at = r.permutation(len(data) - S.LENGTH)
+    order, same = S.SuffixFamily(data).suffix_array(at)
+    own = [data[x : x + S.LENGTH].tobytes() for x in at[order]]
+    assert own == sorted(own) and same.tolist() == [k > 0 and own[k] == own[k - 1] for k in range(len(own))]
+
+
+def test_hot_minimizers_and_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "BATCH", 64)
+    monkeypatch.setattr(S, "BUCKET_BYTES", 500)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    common = [text(30) for _ in range(3)]
+    rows = [(k, text(r.randint(0, 9)) + r.choice(common)[r.randint(0, 5) :] + text(r.randint(0, 9))) for k in range(80)]
+    rows += [(100 + k, rows[r.randint(0, 79)][1]) for k in range(20)]
+    r.shuffle(rows)
+    check(spark, rows)
+
+
 def test_query(spark, sf_dir):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(tuple(x) for x in S.op5(spark, sf_dir).collect()) == sorted(plain(rows))
