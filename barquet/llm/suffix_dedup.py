@@ -22,6 +22,7 @@ parts of the family, follows the bytes of the corpus, so that no task's share gr
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,11 +36,11 @@ from . import common
 LENGTH = 50
 GRAM = 16
 #: Suffixes of a batch, about.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Strings of a stretch at most; longer runs (periodic texts) are several stretches.
 STRETCH = 64
-#: Bytes of different texts in a bucket, and in a part of the family, about.
-BUCKET_BYTES = 16 << 20
+#: Bytes of different texts in a bucket, and in a part of the family, about; a task needs some twenty times as much memory.
+BUCKET_BYTES = 8 << 20
 #: Texts that make a minimizer hot; more in a large corpus, so that there are at most HOT_KEYS of them.
 HOT, HOT_KEYS = 1 << 16, 1 << 20
 #: Bits of a minimizer's hash that tell minimizers apart; equal ones only cost a needless comparison.
@@ -407,17 +408,23 @@ def _first_documents(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_firsts_of_part`` finds in each part; the rows come part by part."""
+    rows = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, own in itertools.groupby(rows, key=lambda x: x[0]):
+        yield from _firsts_of_part(own)
+
+
+def _firsts_of_part(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Lists (bucket, RANGES, hash of the text, start, strings) of repeats, and (bucket, STRINGS, bytes, first document)."""
     parts, strings = [], []
-    for batch in batches:
-        for _, bucket, hot, texts, counts, starts, sizes, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if hot:
-                docs = np.frombuffer(texts, np.int64)
-                strings.append((bucket, docs, pa.decompress(body, decompressed_size=LENGTH * len(docs), codec=_ZSTD, asbytes=True)))
-                continue
-            count, size = np.frombuffer(counts, "<u4"), np.frombuffer(sizes, np.uint8).astype(np.int64)
-            own = np.repeat(np.frombuffer(texts, np.int64).reshape(-1, 2), count, axis=0)
-            parts.append((np.full(len(size), bucket), own[:, 0], own[:, 1], np.frombuffer(starts, "<u4").astype(np.int64), size, np.frombuffer(pa.decompress(body, decompressed_size=int((size + LENGTH - 1).sum()), codec=_ZSTD, asbytes=True), np.uint8)))
+    for _, bucket, hot, texts, counts, starts, sizes, body in rows:
+        if hot:
+            docs = np.frombuffer(texts, np.int64)
+            strings.append((bucket, docs, pa.decompress(body, decompressed_size=LENGTH * len(docs), codec=_ZSTD, asbytes=True)))
+            continue
+        count, size = np.frombuffer(counts, "<u4"), np.frombuffer(sizes, np.uint8).astype(np.int64)
+        own = np.repeat(np.frombuffer(texts, np.int64).reshape(-1, 2), count, axis=0)
+        parts.append((np.full(len(size), bucket), own[:, 0], own[:, 1], np.frombuffer(starts, "<u4").astype(np.int64), size, np.frombuffer(pa.decompress(body, decompressed_size=int((size + LENGTH - 1).sum()), codec=_ZSTD, asbytes=True), np.uint8)))
     if parts:
         bucket, text, doc, start, size, body = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
@@ -533,7 +540,7 @@ def losses(docs: DataFrame, with_bytes: bool) -> DataFrame:
     shipped = texts.mapInArrow(_ship(n), "bucket int, blob binary").repartition(n, "bucket").groupBy("bucket")
     lists = ids.unionByName(shared.filter(F.col("kind") == KEYS)).repartition(n, "bucket").groupBy("bucket")
     stretches = shipped.cogroup(lists).applyInArrow(_stretches(n, hots), _STRETCH_DDL)
-    ranges = stretches.repartition(n, "part").mapInArrow(_firsts, _LISTS_DDL)
+    ranges = stretches.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_firsts, _LISTS_DDL)
     return shipped.cogroup(ids.unionByName(ranges).repartition(n, "bucket").groupBy("bucket")).applyInArrow(_cut_out(hots, with_bytes), _DONE_DDL)
 
 
