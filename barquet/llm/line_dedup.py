@@ -8,9 +8,12 @@ Every two lines of a band are compared unless links already join them: a few nei
 all pairs whose lines lie in different components. One line of every connected component stays: the
 first by (doc_id, line number).
 
-A permutation orders the shingle hashes by their upper five bits, which an odd factor and a
-summand deal anew, and then by the rest. So only the least hash of each of the ``BINS`` values of
-those bits can be a minimum, and one pass over the sorted hashes serves all permutations.
+Each minimum is that of one bin of hash values, so that one hash of a shingle serves all of them
+(one-permutation hashing). A line of few shingles leaves bins empty; its shingles are therefore hashed
+again, level by level, and an empty bin takes its minimum from the first level that reaches it. Of a
+line of n shingles only hashes below ``DEPTH`` / n of the range count: the minima of all bins lie
+there but for e^(-DEPTH / bins), and the bound changes with n without a step. More rows a band make
+candidates fewer; they are a parameter, as chance likeness grows with the square of the lines.
 """
 
 from __future__ import annotations
@@ -24,17 +27,22 @@ from .components import connected_components
 
 WIDTH = 10
 THRESHOLD = 0.8
-BANDS = 6
-ROWS = 3
+BANDS = 8
+ROWS = 4
+#: Hashes of a line that count, about.
+DEPTH = 3 * BANDS * ROWS
+#: Positions that one array holds, so that a very long line isn't one array.
+STEP = 4096
 #: Neighbours in a band, in the order of another band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 4
 #: Rows of a band that one window sorts, about; larger bands are salted by that order. Pairs of parts of as many rows meet later.
 BAND_ROWS = 2000
 #: Rows of (hash) that a broadcast may hold, 16 bytes each in Spark's own layout and some overhead.
 BROADCAST_ROWS = 200_000
-
-#: Values of a shingle hash's upper bits, and the bits below them.
-BINS, BELOW = 32, 59
+#: A line that makes up this share of all is hot: there are at most as many hot lines as its inverse.
+HOT_SHARE = 0.001
+#: Bits of a hash that tell its bin, and that are its value within a level.
+BIN_BITS, VALUE_BITS = 5, 24
 
 
 def normal(line: Column) -> Column:
@@ -44,17 +52,13 @@ def normal(line: Column) -> Column:
     return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.trim(F.regexp_replace(line, r"[\s\u00a0]+", " "))).otherwise(line)
 
 
-def _hashes(line: Column) -> Column:
-    """A hash of each shingle; a line shorter than a shingle is one. In UTF-32, where a place in the line is a place in its bytes."""
-    wide = F.array(F.encode(line, "UTF-32"))
-    places = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * WIDTH + 1), F.lit(4))
-    return F.transform(wide, lambda b: F.transform(places(b), lambda at: F.xxhash64(F.substring(b, at, 4 * WIDTH))))[0]
-
-
-def _least_of_bins(hashes: Column) -> Column:
-    """The least hash of each bin, of sorted hashes."""
-    bin_of = lambda h: F.shiftright(h, BELOW)
-    return F.filter(hashes, lambda h, k: (k == 0) | (bin_of(h) != bin_of(F.get(hashes, k - 1))))
+def _shingles(lines: DataFrame) -> DataFrame:
+    """A row for each shingle of each row, with its place ``at``; column b: the line in UTF-32, where a place in the line
+    is a place in its bytes. A line shorter than a shingle is one."""
+    own = lines.columns
+    last = F.greatest(F.lit(0), F.shiftright(F.octet_length("b"), 2) - WIDTH)
+    x = lines.select(*own, F.explode(F.sequence(F.lit(0), last, F.lit(STEP))).alias("_from"))
+    return x.select(*own, F.explode(F.sequence("_from", F.least(F.col("_from") + (STEP - 1), last))).alias("at"))
 
 
 def _keys() -> list[Column]:
@@ -69,29 +73,34 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line")))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, h1, h2, blank, bands) for each line; bands: a hash of each band's minima, null if blank."""
-    place = ["doc_id", "text_hash", "line_no", "h1", "h2"]
-    hashes = lines.select(*place, F.sort_array(_hashes(F.col("line"))).alias("_h"), (F.col("line") == "").alias("blank"))
-    hashes = hashes.select(*place, "blank", _least_of_bins(F.col("_h")).alias("_h"))
-    # fixed values: any odd factors and different summands do
-    deals = [(2 * (7 * k % (BINS // 2)) + 1, 11 * k % BINS) for k in range(BANDS * ROWS)]
-    least = [F.array_min(F.transform("_h", _dealt(*x))) for x in deals]
-    bands = F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    return hashes.select(*place, "blank", F.when(~F.col("blank"), bands).alias("bands"))
-
+def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(h1, b0, b1, ...) of each different line but blank ones: a hash of each band's minima, null where a band has none.
 
-def _dealt(factor: int, summand: int):
-    """The hash with its bin dealt anew."""
-    return lambda h: F.shiftleft((F.shiftrightunsigned(h, BELOW) * factor + summand).bitwiseAND(F.lit(BINS - 1)), BELOW).bitwiseOR(h.bitwiseAND(F.lit((1 << BELOW) - 1)))
+    One generated row a shingle runs within one stage of compiled code and ends in a partial aggregate.
+    """
+    bins, depth = bands * rows, DEPTH * bands * rows // (BANDS * ROWS)
+    if bins > 1 << BIN_BITS:
+        raise ValueError(f"more than {1 << BIN_BITS} minima")
+    x = lines.filter("line != ''").select("h1", F.encode("line", "UTF-32").alias("b"))
+    x = x.select("h1", "b", F.greatest(F.lit(1), F.shiftright(F.octet_length("b"), 2) - (WIDTH - 1)).alias("n"))
+    x = x.select("h1", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(depth) / F.col("n")).cast("long") - 1)).alias("level"))
+    x = _shingles(x).select("h1", "n", "level", F.xxhash64(F.substring("b", 4 * F.col("at") + 1, F.lit(4 * WIDTH)), "level").alias("h"))
+    value = F.shiftleft("level", VALUE_BITS) + F.col("h").bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
+    x = x.select("h1", "n", F.shiftrightunsigned("h", 64 - BIN_BITS).alias("bin"), value.alias("value"))
+    x = x.filter(F.col("value") < (F.lit(depth << VALUE_BITS) / F.col("n")).cast("long"))
+    least = x.groupBy("h1").agg(*[F.min(F.when(F.col("bin") == k, F.col("value"))).cast("int").alias(f"m{k}") for k in range(bins)])
+    names = [[f"m{k}" for k in range(b * rows, (b + 1) * rows)] for b in range(bands)]
+    each = [F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(m, F.lit(-1)) for m in own])).alias(f"b{b}") for b, own in enumerate(names)]
+    return least.select("h1", *each)
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """(band, h1, next, first, last) of each different line in each band of two or more; next: the line's hash of another band."""
-    each = [F.struct(F.col("bands")[b].alias("band"), F.col("bands")[(b + 1) % BANDS].alias("next")) for b in range(BANDS)]
-    rows = signed.filter(~F.col("blank")).select("h1", F.explode(F.array(*each)).alias("x")).select("h1", "x.band", "x.next")
+    """(band, h1, next, first, last) of each line in each band of two or more; next: the line's hash of another band."""
+    bands = [c for c in signed.columns if c != "h1"]
+    each = [F.struct(F.col(b).alias("band"), F.coalesce(bands[(k + 1) % len(bands)], b).alias("next")) for k, b in enumerate(bands)]
+    rows = signed.select("h1", F.explode(F.array(*each)).alias("x")).select("h1", "x.band", "x.next").filter("band is not null")
     shared = rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first < last")
-    return common.cut(rows.join(_small(common.cut(shared)), "band").distinct())
+    return common.cut(rows.join(_small(common.cut(shared)), "band"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -109,11 +118,12 @@ def candidates(rows: DataFrame) -> DataFrame:
     return pairs.unionByName(near).distinct()
 
 
-def apart(rows: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (u, v) of h1, u > v, of all lines that share a band, are in different components and aren't in ``done``.
+def apart(rows: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (u, v) of h1 between all alike lines that share a band and are in different components.
 
-    rows: of ``shared_bands``; roots: (node, root) of the lines that have links. A large band is
-    divided into parts, and each pair of parts is joined by itself.
+    rows: of ``shared_bands``; roots: (node, root) of the lines that have links; texts: (h1, line).
+    A line's set of shingles is made once a band and travels with it. A large band is divided into
+    parts, and each pair of parts is joined by itself.
     """
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > NEIGHBOURS + 1)  # in smaller ones all lines were neighbours
     own = rows.join(sizes, "band").select("band", "h1").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("root", "h1").alias("c"))
@@ -121,12 +131,16 @@ def apart(rows: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("n") / BAND_ROWS).cast("int")
     own = common.cut(own.join(mixed.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int")))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    cells = own.select("band", "h1", "c", "part", F.explode(cells).alias("x")).select("band", "h1", "c", "part", "x.i", "x.j")
+    cells = own.join(texts, "h1").select("band", "h1", "c", "part", _set(F.col("line")).alias("s"), F.explode(cells).alias("x")).select("band", "h1", "c", "part", "s", "x.i", "x.j")
     a, b = cells.alias("a"), cells.alias("b")
     met = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("band", "i", "j")]
     once = (F.col("a.part") != F.col("b.part")) | (F.col("a.i") == F.col("a.j"))
-    pairs = a.join(b, met[0] & met[1] & met[2] & once & (F.col("a.h1") > F.col("b.h1")) & (F.col("a.c") != F.col("b.c")))
-    return pairs.select(F.col("a.h1").alias("u"), F.col("b.h1").alias("v")).distinct().join(done, ["u", "v"], "left_anti")
+    n = F.size("a.s") + F.size("b.s")
+    open_ = once & (F.col("a.h1") > F.col("b.h1")) & (F.col("a.c") != F.col("b.c")) & (F.least(F.size("a.s"), F.size("b.s")) >= threshold * F.greatest(F.size("a.s"), F.size("b.s")))
+    # alike if the common shingles are threshold / (1 + threshold) of both sets' sizes; only looked at for open pairs
+    share = F.when(open_, F.size(F.array_intersect("a.s", "b.s")) / n)
+    links = a.join(b, met[0] & met[1] & met[2] & (share >= threshold / (1 + threshold) - 1e-12))
+    return links.select(F.col("a.h1").alias("u"), F.col("b.h1").alias("v")).distinct()
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -134,10 +148,8 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def similar_lines(lines: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v, similarity) of those ``pairs`` (u, v) of hashes of different lines that are alike."""
-    nodes = common.cut(pairs.select(F.explode(F.array("u", "v")).alias("h1")).distinct())
-    texts = common.cut(lines.select("h1", "line").join(_small(nodes), "h1", "left_semi").dropDuplicates(["h1"]))
+def similar_lines(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v, similarity) of those ``pairs`` (u, v) that are alike; texts: (h1, line) of their lines, once each."""
     # the texts travel, not their shingles: these are many times as long
     both = pairs.join(texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h1").alias("v"), F.col("line").alias("b")), "v")
     sets = both.select("u", "v", _set(F.col("a")).alias("a"), _set(F.col("b")).alias("b"))
@@ -145,49 +157,63 @@ def similar_lines(lines: DataFrame, pairs: DataFrame, threshold: float = THRESHO
     return alike.select("u", "v", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def alike(lines: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of all lines that have a link: the component of each hash of a line, named by its smallest."""
-    rows = shared_bands(signed)
-    first = common.cut(candidates(rows))
-    roots = common.cut(connected_components(similar_lines(lines, first, threshold).select("u", "v")))
-    rest = common.cut(apart(rows, roots, first))
-    if rest.isEmpty():
-        return roots
-    links = similar_lines(lines, rest, threshold)
+def _set(line: Column) -> Column:
+    """The different hashes of a line's shingles."""
+    wide = F.array(F.encode(line, "UTF-32"))
+    places = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * WIDTH + 1), F.lit(4))
+    return F.array_distinct(F.transform(wide, lambda b: F.transform(places(b), lambda at: F.xxhash64(F.substring(b, at, 4 * WIDTH))))[0])
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) with more ``links`` (u, v) between the nodes of ``roots``, or lines that had no link before."""
     for x in ("u", "v"):
         links = links.join(roots.select(F.col("node").alias(x), "root"), x, "left").withColumn(x, F.coalesce("root", x)).select("u", "v")
-    joined = common.cut(connected_components(links))
-    # a line that had no link before is a node of ``joined`` only
-    both = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return both.unionByName(joined.join(roots.select("node"), "node", "left_anti"))
+    more = common.cut(connected_components(links))
+    both = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return common.cut(both.unionByName(more.join(roots.select("node"), "node", "left_anti")))
 
 
-def _set(line: Column) -> Column:
-    return F.array_distinct(_hashes(line))
+def alike(lines: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of all lines that have a link: the component of each hash of a line, named by its smallest."""
+    rows = shared_bands(signed)
+    nodes = common.cut(rows.select("h1").distinct())
+    texts = common.cut(lines.select("h1", "line").join(_small(nodes), "h1", "left_semi").dropDuplicates(["h1"]))
+    pairs = common.cut(candidates(rows))
+    roots = common.cut(connected_components(similar_lines(texts, pairs, threshold).select("u", "v")))
+    more = common.cut(apart(rows, roots, texts, threshold))
+    return roots if more.isEmpty() else _joined(roots, more)
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, line_no, class_doc_id, class_line_no, n_members, kept) for each line of each document.
 
-    The class is named by its first line, the only one that is kept. Blank lines are classes of
-    their own and kept. A null text has no lines; a null id sorts first; repeated rows count once.
+    The class is named by its first line, the only one that is kept; n_members is the number of its
+    lines, equal ones included. Blank lines are classes of their own and kept. A null text has no
+    lines; a null id sorts first; repeated rows count once.
     """
     lines = lines_of(docs.select("doc_id", "text"))
-    signed = common.cut(signatures(lines))
-    roots = alike(lines, signed, threshold)
-    places = signed.filter(~F.col("blank")).join(_small(common.cut(roots)).withColumnRenamed("node", "h1"), "h1", "left")
-    places = places.select("doc_id", "text_hash", "line_no", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"))
+    places = common.cut(lines.select("doc_id", "text_hash", "line_no", F.when(F.col("line") != "", F.col("h1")).alias("h1"), "h2"))
+    roots = alike(lines, common.cut(signatures(lines)), threshold)
     place = F.struct("doc_id", "line_no", "text_hash")
-    classes = places.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n_members")).filter("n_members > 1")
-    found = places.join(classes, ["c1", "c2"], "left").select(
+    # equal lines are one before they meet their class, so that a common line is no skewed key
+    own = places.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    own = common.cut(own.join(_small(common.cut(roots)).withColumnRenamed("node", "h1"), "h1", "left"))
+    classes = own.filter("root is not null").groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n_members"))
+    named = own.filter("root is not null").select("h1", "h2", "root", "n").join(classes, "root").select("h1", "h2", "n", "first", "n_members")
+    named = common.cut(named.unionByName(own.filter("root is null and n > 1").select("h1", "h2", "n", "first", F.col("n").alias("n_members"))))
+    least = max(1.0, HOT_SHARE * places.count())
+    hot = F.broadcast(named.filter(F.col("n") >= least).drop("n").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", "n_members"))  # at most 1 / HOT_SHARE rows
+    met = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    common_lines = places.join(hot, met).drop("g1", "g2")
+    others = places.join(hot.select("g1", "g2"), met, "left_anti").join(named.filter(F.col("n") < least).drop("n"), ["h1", "h2"], "left")
+    found = common_lines.unionByName(others.select(common_lines.columns))
+    return found.select(
         "doc_id", "text_hash", "line_no",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
         F.coalesce("first.line_no", "line_no").alias("class_line_no"),
-        F.coalesce("n_members", F.lit(1)).alias("n_members"),
+        F.coalesce("n_members", F.lit(1)).cast("long").alias("n_members"),
         (F.col("first").isNull() | (F.col("first") == place)).alias("kept"),
     )
-    blank = signed.filter("blank").select("doc_id", "text_hash", "line_no", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no"), F.lit(1).cast("long").alias("n_members"), F.lit(True).alias("kept"))
-    return found.unionByName(blank)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

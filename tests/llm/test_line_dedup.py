@@ -130,11 +130,39 @@ def test_alike_lines_without_certain_letters_meet(spark):
     assert recall(spark, pairs + long) >= 0.97
 
 
+def test_short_lines_meet(spark):
+    """Few shingles leave most bins empty; alike lines still take the same minima."""
+    r = random.Random(8)
+    pairs = []
+    while len(pairs) < 200:
+        line = words(r, "abcdefghijklmnopqrstuvwxyz", r.randint(16, 34))
+        other = line + r.choice("!?s") if r.random() < 0.7 else line[1:]
+        if similarity(normal(line), normal(other)) >= line_dedup.THRESHOLD:
+            pairs.append((line, other))
+    assert recall(spark, pairs) >= 0.97
+
+
+def test_lines_at_the_threshold_meet(spark):
+    r = random.Random(10)
+    pairs = []
+    while len(pairs) < 200:
+        line = words(r, "abcdefghijklmnopqrstuvwxyz", r.randint(60, 900)).split()
+        other = list(line)
+        for _ in range(max(1, len(line) // 12)):
+            other[r.randrange(len(other))] = "qqq"
+        a, b = " ".join(line), " ".join(other)
+        if 0.8 <= similarity(a, b) < 0.88:
+            pairs.append((a, b))
+    assert recall(spark, pairs) >= 0.95
+
+
 def test_shingles_are_characters_at_every_position(spark):
     line = "naïve 日本語 😀 " + "some words of a line that is not short " * 2
     got = spark.createDataFrame([(1, line), (2, line[1:])], "doc_id long, text string")
-    sets = line_dedup.lines_of(got).select(line_dedup._set(line_dedup.F.col("line")).alias("s")).collect()
-    assert sorted(len(x.s) for x in sets) == sorted(len(shingles(normal(x))) for x in (line, line[1:]))
+    F = line_dedup.F
+    rows = line_dedup._shingles(line_dedup.lines_of(got).select("doc_id", F.encode("line", "UTF-32").alias("b"))).select("doc_id", F.substring("b", 4 * F.col("at") + 1, F.lit(4 * line_dedup.WIDTH)).alias("s"))
+    sets = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.count_distinct("s").alias("n")).collect()}
+    assert sets == {1: len(shingles(normal(line))), 2: len(shingles(normal(line[1:])))}
 
 
 def test_every_pair_of_a_hot_band_is_compared(spark, monkeypatch):
@@ -149,8 +177,8 @@ def test_every_pair_of_a_hot_band_is_compared(spark, monkeypatch):
         own = line_dedup.lines_of(docs)
         F = line_dedup.F
         # all in one band; in the order of the other, copies are far from one another
-        hot = F.array(F.lit(1).cast("long"), *[F.xxhash64("h1", F.lit(b)) for b in range(1, line_dedup.BANDS)])
-        signed = own.select("doc_id", "text_hash", "line_no", "h1", "h2", (F.col("line") == "").alias("blank"), hot.alias("bands"))
+        hot = [F.lit(1).cast("long").alias("b0"), *[F.xxhash64("h1", F.lit(b)).alias(f"b{b}") for b in range(1, line_dedup.BANDS)]]
+        signed = own.select("h1", *hot).distinct()
         got = {x.node: x.root for x in line_dedup.alike(own, signed).collect()}
         names = {x.doc_id: x.h1 for x in own.collect()}
         assert all(got[names[2 * k]] == got[names[2 * k + 1]] == min(names[2 * k], names[2 * k + 1]) for k in range(n))
