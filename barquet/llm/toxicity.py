@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .blockmax import BlockMaxIndex
@@ -56,14 +55,16 @@ def counts_of(text: str | None) -> Counter:
 def examples_of(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, toxic, text) of the examples, and how many labelled rows each class has.
 
-    Labels other than 0 and 1 and null ids don't count; an id with both labels counts as toxic.
+    Labels other than 0 and 1 and null ids don't count; an id with both labels counts as toxic, and
+    so does a text whose rows have both. Equal texts are one example, under their smallest id.
     """
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = common.cut(labels)
     classes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_class).drop("_n")
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"), classes  # at most 2 * per_class rows
+    first = [labels.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]  # each task keeps its first ones
+    chosen = F.broadcast(common.cut(first[0].unionByName(first[1])))  # at most 2 * per_class rows
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id")
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text"), classes
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +110,20 @@ def _vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>, tfs array<long>")
 
 
+def _document_frequencies(size: int):
+    """(term, documents) of each task's rows, and (-1, rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows = np.zeros(size, np.int64), 0
+        for batch in batches:
+            df += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+            rows += batch.num_rows
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1), pa.int32()), pa.array(np.append(df[terms], rows))], names=["term", "n"])
+
+    return run
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the best non-decreasing fit, by pooling adjacent violators; equal x are one point."""
     xs, back = np.unique(x, return_inverse=True)
@@ -152,14 +167,18 @@ class Neighbours:
 def train(docs: DataFrame, vectors_of: DataFrame, labels: DataFrame, per_class: int = EXAMPLES) -> tuple[Neighbours, DataFrame]:
     """The index of the examples among ``labels``, and the vectors of all rows of ``vectors_of``."""
     chosen, classes = examples_of(docs, labels, per_class)
-    terms = common.cut(chosen.dropDuplicates(["doc_id"]).dropDuplicates(["text"]).mapInArrow(_example_terms, "doc_id long, toxic int, term string, tf long"))
+    terms = common.cut(chosen.mapInArrow(_example_terms, "doc_id long, toxic int, term string, tf long"))
     n = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     vocabulary = [r["term"] for r in _vocabulary(terms, n).collect()]  # at most TERMS
     vectors = common.cut(_vectors(vectors_of, vocabulary))
-    df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + vectors.count()) / (1 + df)) + 1
+    counted = vectors.select("terms").mapInArrow(_document_frequencies(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df, n_rows = np.zeros(len(vocabulary)), 0
+    for r in counted.collect():  # at most TERMS rows and the number of documents
+        if r["term"] < 0:
+            n_rows = r["n"]
+        else:
+            df[r["term"]] = r["n"]
+    idf = np.log((1 + n_rows) / (1 + df)) + 1
     at = {t: k for k, t in enumerate(vocabulary)}
     known = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string"))
     rows = terms.join(known, "term", "left_semi").groupBy("doc_id").agg(F.collect_list("term").alias("t"), F.collect_list("tf").alias("n"))
