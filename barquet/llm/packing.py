@@ -1,10 +1,10 @@
 """Packing token ids into sequences of a fixed length, best fit decreasing.
 
-A document longer than a window is first cut into full windows, each a sequence of its own. The
-pieces that are left are packed longest first, each into the open window with the least sufficient
-room; a segment tree over the remaining capacities finds it. Pieces are dealt evenly over tasks by
-a hash of their document, and each task packs its own, so a corpus leaves a few part-filled
-windows for each ``PIECES`` pieces.
+A document longer than a window is first cut into full windows, each a sequence of its own, whose
+number is known without a shuffle. The pieces that are left are packed longest first, each into the
+open window with the least sufficient room; a segment tree over the remaining capacities finds it.
+They are dealt evenly over tasks by a hash of their document, and each task packs its own, so a corpus
+leaves a few part-filled windows for each ``PIECES`` pieces.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ END = 1
 PIECES = 50_000
 # fixed value: the vocabulary's pattern of words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# fixed value: the vocabulary's added token
+SPECIAL = {"<|endoftext|>": 50256}
 #: The byte-level vocabulary, as the ``tokenizers`` library reads it and as ranks of the same ids.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 class Encoder:
-    """Ids of the byte-level tokenizer, without special tokens.
+    """Ids of the byte-level tokenizer, which adds no special tokens but reads one where the text holds it.
 
     ``tiktoken`` gives the same ids from the same vocabulary in a third of the time; what its
     matcher refuses (runs of white space beyond its limit) goes to ``tokenizers``.
@@ -42,13 +44,13 @@ class Encoder:
 
         self.path, self.slow = path, None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path(RANKS), "rb"))}
-        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as error:  # its panics aren't Exceptions
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except BaseException as error:
+            if type(error).__name__ != "PanicException" and not isinstance(error, ValueError):  # what the matcher raises, no Exception
                 raise
             return np.array(self.exact(text), np.uint32)
 
@@ -57,7 +59,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path(VOCABULARY))
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -154,11 +155,12 @@ def pack(docs: DataFrame, path: Callable[[str], str] = vocabulary_path, window:
     Repeated rows are packed as often as they come; a null id stays null.
     """
     cut = common.cut(pieces(docs, path, window))
-    n = cut.filter(F.col("length") < window).count()
-    tasks = max(1, n // PIECES)
-    schema = cut.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = cut.repartition(tasks, F.xxhash64("doc_id", "start", "ids_crc32"))
-    return dealt.mapInArrow(_pack(window), schema)
+    rests = cut.filter(F.col("length") < window)
+    tasks = max(1, rests.count() // PIECES)
+    packed = rests.repartition(tasks, F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(_pack(window), cut.schema.add("sequence_id", "long").add("offset", "long"))
+    # numbers of the tasks' windows are below 2^62, those of full windows above
+    whole = cut.filter(F.col("length") == window).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(whole)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -8,14 +8,12 @@ from tokenizers import Tokenizer
 
 from barquet.llm import packing as K
 
-TEXTS = [None, "", "plain words", " lead and  double  ", "naïve café 日本語 😀‍👩", "<|endoftext|> as text", "tabs\t\tand\n\n\nlines   \n", "x" * 5000, "word " * 9000, " " * 3000, "\r\n\x00\x1f", "1234567890 " * 300, "don't we'll I'VE"]
+TEXTS = [None, "", "plain words", " lead and  double  ", "naïve café 日本語 😀‍👩", "<|endoftext|> as text", "in<|endoftext|> <|endoftext|>\n<|endoftext |>", "tabs\t\tand\n\n\nlines   \n", "x" * 5000, "word " * 9000, " " * 3000, "\r\n\x00\x1f", "1234567890 " * 300, "don't we'll I'VE"]
 
 
 @functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(K.vocabulary_path(K.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(K.vocabulary_path(K.VOCABULARY))
 
 
 def ids_of(text):
@@ -56,6 +54,19 @@ def test_fast_ids_are_the_tokenizers_ids():
         assert list(encode(text)) == ids_of(text)[:-1]
 
 
+def test_a_special_token_in_the_text_is_one_id():
+    encode = K.Encoder(K.vocabulary_path)
+    assert list(encode("a<|endoftext|>b")) == encode.exact("a<|endoftext|>b") == tokenizer().encode("a<|endoftext|>b", add_special_tokens=False).ids
+    assert 50256 in encode("a<|endoftext|>b")
+    assert list(encode("<|endoftext|>" + " " * 300_000)) == ids_of("<|endoftext|>" + " " * 300_000)[:-1]
+
+
+def test_full_windows_need_no_packing_task(spark):
+    got = K.pack(spark.createDataFrame([(1, "word " * 9000), (2, "word " * 9000)], "doc_id long, text string")).collect()
+    full = [r for r in got if r.length == K.WINDOW]
+    assert len({r.sequence_id for r in full}) == len(full) == 8 and all(r.sequence_id >= 1 << 62 for r in full)
+
+
 def test_best_fit_takes_the_tightest_window():
     r = random.Random(1)
     lengths = np.array([r.randint(1, 100) for _ in range(500)])
