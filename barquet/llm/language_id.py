@@ -25,8 +25,6 @@ ORDER = 3
 UNKNOWN = "und"
 #: Training documents of a language at most; the sample is that with the smallest hashes of doc_id.
 DOCS_PER_LANGUAGE = 400
-#: Contexts of full order kept for a language at most, the most frequent ones.
-GRAMS_PER_LANGUAGE = 1 << 19
 #: Byte pairs that the lookup table holds at most; rarer ones take the slower search.
 DENSE_PAIRS = 3000
 PAD = b"\n" * ORDER
@@ -152,8 +150,12 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """(lang, text) of at most ``per_language`` rows a language: those with the smallest hashed ids."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_language)
+    place = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("place")  # even between 0 and 1
+    sizes = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("size")))  # a row a language
+    # four times as many as wanted are looked at, so that no task gets a whole language; they hold the wanted ones for certain but for 1 in 10^100
+    rows = usable.select("lang", "doc_id", place).join(sizes, "lang").filter(F.col("place") * F.col("size") <= 4 * per_language + 100)
+    w = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_language)
     ids = chosen.select("doc_id").distinct()  # per_language rows a language: small by construction
     return usable.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
 
@@ -161,8 +163,7 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> D
 def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """A model of the languages in ``lang``, from a bounded sample of the rows of ``docs``."""
     grams = training_sample(docs, per_language).mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = grams.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= GRAMS_PER_LANGUAGE).drop("_n").toPandas()
+    kept = grams.toPandas()  # no more than the bytes of the sample
     return Model({lang: ContextTree(g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in kept.groupby("lang")})
 
 
