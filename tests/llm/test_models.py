@@ -88,10 +88,76 @@ def test_toxicity_held_out_and_edges(spark):
 
 
 def test_licence_rules(spark):
-    s = licences.SENTENCES
-    mit = "\n".join(x.capitalize() + "." for x in (s["mit.grant"], s["mit.notice"], s["mit.asis"]))
+    texts = {rule: text for rule, _, text in licences.RULES}
+    mit = "\n".join(x.capitalize() + "." for x in licences.sentences_of(texts["mit-text"]))
     wrapped = mit.replace(" software ", "\nsoftware ")
     rows = [(1, f"Hello.\n{mit}\nBye."), (2, wrapped), (3, "\n".join(reversed(mit.split("\n")))), (4, "Released under the MIT License."), (4, "Released under the MIT License."), (5, None), (6, ""), (None, "Licensed under CC BY-NC 4.0."), (7, "word. " * 50_000 + "Licensed under the Apache License, Version 2.0.")]
     got = sorted(((r.doc_id, r.rule) for r in licences.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(1, "mit-text"), (2, "mit-text"), (4, "mit-notice"), (None, "cc-by-nc-notice"), (7, "apache-notice")], key=str)
     assert licences.matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT
+"""
+CLAUSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS"""
+
+
+def test_published_licence_texts(spark):
+    noisy = "*" * 1500 + " Licensed under the MIT License. " + "-" * 1500
+    rows = [(1, APACHE, 0), (2, GPL, 0), (3, GPL.replace("This program is distributed", "All rights reserved. This program is distributed"), 0), (4, BSD, 0), (5, BSD.replace("THIS", CLAUSE), 0), (6, noisy, 0), (7, GPL.replace("This program is distributed", "One. " * 9 + "This program is distributed"), 0), (8, GPL + "\n" + GPL, 0)]
+    got = {(r.doc_id, r.rule, r.n) for r in licences.matches(spark.createDataFrame(rows, "doc_id long, text string, rule int")).collect()}
+    assert got == {(1, "apache-header", 1), (2, "gpl3-header", 1), (3, "gpl3-header", 1), (4, "bsd-2-text", 1), (5, "bsd-2-text", 1), (5, "bsd-3-clause", 1), (6, "mit-notice-2", 1), (8, "gpl3-header", 2)}
+
+
+def test_licence_query_equals_sql(spark, sf_dir):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    wanted = sorted(db.sql(licences.oracle_sql()).fetchall())
+    assert wanted and sorted((r.doc_id, r.licence, r.rule, r.n) for r in licences.op10(spark, sf_dir).collect()) == wanted
+
+
+def test_toxicity_of_repeated_texts_and_opposite_labels(spark):
+    rows = [(k, t, None) for k, t in enumerate(["vile words here", "calm words here"] * 30)] + [(3, "calm words here", None)]
+    labels = [(k, int(k % 2 == 0)) for k in range(60)] + [(1, 1), (2, 0)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    examples, classes = toxicity.examples_of(docs, lab)
+    assert {(r.doc_id, r.toxic) for r in examples.collect()} == {(0, 1), (1, 1)}  # one example a text; both labels mean toxic
+    assert sum(classes.values()) == 60
+    one, two = (sorted((r.doc_id, round(r.score, 12)) for r in toxicity.score(v, m).collect()) for m, v in (toxicity.train(docs, docs, lab), toxicity.train(docs.repartition(3), docs, lab.repartition(2))))
+    assert one == two and len(one) == len(rows)
