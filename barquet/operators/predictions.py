@@ -148,19 +148,17 @@ def stability(history: DataFrame, n: int = 30) -> DataFrame:
 def tag_events(bars: DataFrame, calendar: DataFrame, pre_ms: int = 300_000, post_ms: int = 1_800_000) -> DataFrame:
     """Bars with event_id, impact and phase (pre, during, post) of the earliest event whose window holds them; null without.
 
-    ``calendar``: (id, at, duration_ms, impact), a small dimension table. It is broadcast only below
-    a counted size; beyond it windows and bars meet by day.
+    ``calendar``: (id, at, duration_ms, impact). Windows and bars meet by day, so the join is an equi-join
+    whatever the sizes. Equal bars stay as many.
     """
     day = 86_400_000
     end = F.col("at") + F.coalesce("duration_ms", F.lit(0))
     cal = calendar.select(F.col("id").alias("event_id"), "at", end.alias("_end"), "impact")
-    if cal.count() <= 100_000:
-        on = (F.col("t") >= F.col("at") - pre_ms) & (F.col("t") <= F.col("_end") + post_ms)
-        joined = bars.join(F.broadcast(cal), on, "left")
-    else:
-        cal = cal.withColumn("_day", F.explode(F.sequence(F.floor((F.col("at") - pre_ms) / day), F.floor((F.col("_end") + post_ms) / day))))
-        joined = bars.withColumn("_bday", F.floor(F.col("t") / day)).join(cal, (F.col("_bday") == F.col("_day")) & (F.col("t") >= F.col("at") - pre_ms) & (F.col("t") <= F.col("_end") + post_ms), "left").drop("_day", "_bday")
-    first = joined.groupBy(*[F.col(c) for c in bars.columns]).agg(F.min(F.struct("at", "event_id", "_end", "impact")).alias("e"))
+    cal = cal.withColumn("_day", F.explode(F.sequence(F.floor((F.col("at") - pre_ms) / day), F.floor((F.col("_end") + post_ms) / day))))
+    counted = bars.groupBy(*bars.columns).agg(F.count("*").alias("_times"))
+    on = (F.floor(F.col("t") / day) == F.col("_day")) & (F.col("t") >= F.col("at") - pre_ms) & (F.col("t") <= F.col("_end") + post_ms)
+    first = counted.join(cal, on, "left").groupBy(*bars.columns, "_times").agg(F.min(F.struct("at", "event_id", "_end", "impact")).alias("e"))
+    first = first.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
     phase = F.when(F.col("t") >= F.col("e._end"), "post").when(F.col("t") >= F.col("e.at"), "during").when(F.col("e.at").isNotNull(), "pre")
     return first.select(*bars.columns, F.col("e.event_id").alias("event_id"), F.col("e.impact").alias("impact"), phase.alias("phase"))
 
@@ -172,7 +170,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], within_m
     """
     bucket = lambda t: F.floor(F.col(t) / within_ms)
     r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("t").alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in columns]).withColumn("_b", F.explode(F.array(bucket("_t") - 1, bucket("_t"), bucket("_t") + 1)))
-    left = left.withColumn("_row", F.struct(*left.columns))
+    own = left.columns
+    left = left.groupBy(*own).agg(F.count("*").alias("_times")).withColumn("_row", F.struct(*own, "_times"))  # equal rows stay as many
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [bucket("t") == F.col("_b"), F.abs(F.col("t") - F.col("_t")) <= within_ms]
     best = left.join(r, on, "left").groupBy("_row").agg(F.min_by(F.struct("_t", *[f"_c_{c}" for c in columns]), F.struct(F.abs(F.col("t") - F.col("_t")), -F.col("_t"))).alias("_n"))
-    return best.select("_row.*", F.col("_n._t").alias("near_t"), *[F.col(f"_n._c_{c}").alias(f"near_{c}") for c in columns])
+    best = best.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_row._times")))
+    return best.select(*[f"_row.{c}" for c in own], F.col("_n._t").alias("near_t"), *[F.col(f"_n._c_{c}").alias(f"near_{c}") for c in columns])

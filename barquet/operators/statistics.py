@@ -16,13 +16,15 @@ def returns(bars: DataFrame) -> DataFrame:
     return bars.select(*SERIES, "t", log_return().alias("r")).filter("r is not null")
 
 
-def correlation_matrix(rets: DataFrame) -> DataFrame:
+def correlation_matrix(rets: DataFrame, bases: list[str] | None = None) -> DataFrame:
     """(tf, a, b, n, corr, beta) of each pair of symbols a < b, over the times that both have.
 
-    Under three common times there is no row; without variance corr and beta are 0.
+    With ``bases`` a runs over these symbols alone and b over all others, which many symbols need: all
+    pairs grow with their square. Under three common times there is no row; without variance corr and beta are 0.
     """
     one, other = rets.select("tf", "t", F.col("symbol").alias("a"), F.col("r").alias("x")), rets.select("tf", "t", F.col("symbol").alias("b"), F.col("r").alias("y"))
-    by = one.join(other, ["tf", "t"]).filter("a < b").groupBy("tf", "a", "b")
+    one = one if bases is None else one.filter(F.col("a").isin(bases))
+    by = one.join(other, ["tf", "t"]).filter("a < b" if bases is None else "a != b").groupBy("tf", "a", "b")
     out = by.agg(F.count("*").alias("n"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"), F.covar_pop("x", "y").alias("_c")).filter("n >= 3")
     flat = (F.col("_vx") < 1e-18) | (F.col("_vy") < 1e-18)
     return out.select("tf", "a", "b", "n", F.when(flat, 0.0).otherwise(F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy"))).alias("corr"), F.when(F.col("_vy") < 1e-18, 0.0).otherwise(F.col("_c") / F.col("_vy")).alias("beta"))

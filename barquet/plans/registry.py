@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market, study
+from . import market, reports, study
 
-QUERIES: dict = {**market.QUERIES, **study.QUERIES}
-ORACLE_SQL: dict[str, str] = {**market.ORACLE_SQL, **study.ORACLE_SQL}
+QUERIES: dict = {**market.QUERIES, **study.QUERIES, **reports.QUERIES}
+ORACLE_SQL: dict[str, str] = {**market.ORACLE_SQL, **study.ORACLE_SQL, **reports.ORACLE_SQL}

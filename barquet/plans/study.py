@@ -91,17 +91,15 @@ def last_bars(spark, sf_dir):
 
 
 _RET = f"rets as (select * from (select symbol, tf, t, ln(c / {lag('c')}) r from b) where r is not null)"
-_UNIVERSE = "S1"  # the pairs among symbols that begin so
 
 
 @query("correlations", f"""
-with {BARS}, {_RET}, u as (select * from rets where symbol like '{_UNIVERSE}%')
+with {BARS}, {_RET}
 select x.tf, x.symbol a, y.symbol b, count(*) n, round(covar_pop(x.r, y.r) / sqrt(var_pop(x.r) * var_pop(y.r)), 6) corr, round(covar_pop(x.r, y.r) / var_pop(y.r), 6) beta
-from u x join u y on x.tf = y.tf and x.t = y.t and x.symbol < y.symbol group by 1, 2, 3 having count(*) >= 3
+from rets x join rets y on x.tf = y.tf and x.t = y.t and x.symbol < y.symbol group by 1, 2, 3 having count(*) >= 3
 """)
 def correlations(spark, sf_dir):
-    rets = T.returns(lineitem_bars(spark, sf_dir)).filter(F.col("symbol").startswith(_UNIVERSE))
-    return rounded(T.correlation_matrix(rets), ["corr", "beta"])
+    return rounded(T.correlation_matrix(T.returns(lineitem_bars(spark, sf_dir))), ["corr", "beta"])
 
 
 @query("autocorrelation", f"with {BARS}, {_RET}, x as (select *, lag(r) over ({W}) p from rets) select symbol, tf, round(corr(r, p), 6) autocorr from x group by 1, 2")
@@ -291,22 +289,23 @@ def stability(spark, sf_dir):
 
 @query("tag_events", """
 with e as (select event_type symbol, '1h' tf, epoch_ms(date_trunc('hour', ts)) t from events where value is not null group by 1, 2, 3),
-c as (select event_id id, epoch_us(ts) // 1000 st, 3600000 dur, value impact from events where event_id % 100 = 0),
+c as (select event_id id, epoch_us(ts) // 1000 st, 3600000 dur, value impact from events where event_type = 'purchase'),
 j as (select e.*, c.*, row_number() over (partition by symbol, t order by st, id) r from e left join c on t >= st - 300000 and t <= st + dur + 1800000)
 select symbol, tf, t, id event_id, impact, case when t >= st + dur then 'post' when t >= st then 'during' when st is not null then 'pre' end phase from j where r = 1
 """)
 def tag_events(spark, sf_dir):
-    calendar = table(spark, sf_dir, "events").filter("event_id % 100 = 0").select(F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit(3_600_000).alias("duration_ms"), F.col("value").alias("impact"))
+    calendar = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit(3_600_000).alias("duration_ms"), F.col("value").alias("impact"))
     return P.tag_events(event_bars(spark, sf_dir).select(*KEY), calendar)
 
 
 @query("nearest_bars", """
-with a as (select event_type symbol, epoch_us(ts) // 1000 t, event_id id from events where event_id % 10 = 0), b as (select event_type symbol, epoch_us(ts) // 1000 bt, event_id bid from events where event_id % 10 = 5),
-j as (select a.*, bt, bid, row_number() over (partition by a.id order by abs(a.t - bt), bt desc, bid) r from a left join b on b.symbol = a.symbol and abs(a.t - bt) <= 3600000) select id, bt near_t from j where r = 1
+with a as (select user_id, epoch_us(ts) // 1000 t, event_id id from events where event_type <> 'purchase'), b as (select user_id, epoch_us(ts) // 1000 bt, event_id bid from events where event_type = 'purchase'),
+j as (select a.*, bt, bid, row_number() over (partition by a.id order by abs(a.t - bt), bt desc, bid) r from a left join b on b.user_id = a.user_id and abs(a.t - bt) <= 86400000) select id, bt near_t from j where r = 1
 """)
 def nearest_bars(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"))
-    return P.nearest_in_time(ev.filter("id % 10 = 0"), ev.filter("id % 10 = 5"), ["symbol"], 3_600_000, ["id"]).select("id", "near_t")
+    """The purchase of the same user that is nearest to each other event, within a day."""
+    ev = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"), "event_type")
+    return P.nearest_in_time(ev.filter("event_type <> 'purchase'").drop("event_type"), ev.filter("event_type = 'purchase'"), ["user_id"], 86_400_000, ["id"]).select("id", "near_t")
 
 
 @query("volume_profile")
@@ -331,6 +330,10 @@ def backtest(spark, sf_dir):
     return rounded(M.backtest_metrics(M.backtest(scored)), ["hit_rate", "total_return", "sharpe", "sortino", "max_drawdown", "profit_factor", "best", "worst"], 5)
 
 
+#: Weights of words that the news queries use; users bring their own.
+WORDS = {"rally": 0.7, "surge": 0.8, "gain": 0.5, "bullish": 0.85, "record": 0.5, "approval": 0.6, "crash": -0.85, "plunge": -0.8, "bearish": -0.85, "loss": -0.5, "hack": -0.8, "lawsuit": -0.6}
+
+
 def _news(spark, sf_dir) -> DataFrame:
     """Documents as news: the first line is the title."""
     docs = table(spark, sf_dir, "documents")
@@ -340,12 +343,12 @@ def _news(spark, sf_dir) -> DataFrame:
 
 @query("news_annotated")
 def news_annotated(spark, sf_dir):
-    return N.annotate(_news(spark, sf_dir)).select("guid", F.round("sentiment", 6).alias("sentiment"), "label", "primary", F.round("impact", 6).alias("impact"), "high_impact", F.array_join("symbols", ",").alias("symbols"))
+    return N.annotate(_news(spark, sf_dir), WORDS).select("guid", F.round("sentiment", 6).alias("sentiment"), "label", "primary", F.round("impact", 6).alias("impact"), "high_impact", F.array_join("symbols", ",").alias("symbols"))
 
 
 @query("news_tally")
 def news_tally(spark, sf_dir):
-    return N.tally(N.annotate(_news(spark, sf_dir)))
+    return N.tally(N.annotate(_news(spark, sf_dir), WORDS))
 
 
 @query("news_dedupe", "select count(*) n from (select distinct coalesce(nullif(trim(split_part(text, chr(10), 1)), ''), null) k from documents) where k is not null")
@@ -354,7 +357,7 @@ def news_dedupe(spark, sf_dir):
     return N.dedupe(items).agg(F.count("*").alias("n"))
 
 
-@query("page_text", "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as text from pages")
+@query("page_text", "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '\\s+', ' ', 'g')) as text from pages")
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.clean_headline(F.col("html")).alias("text"))
 

@@ -96,9 +96,9 @@ def stream_validate(preds: DataFrame, bars: DataFrame, delay: str = "1 hour") ->
     return p.join(b, on, "left_outer")
 
 
-def stream_news(news: DataFrame, delay: str = "1 day") -> DataFrame:
+def stream_news(news: DataFrame, lexicon: dict[str, float], delay: str = "1 day") -> DataFrame:
     """Annotated news of a stream, each guid once within the watermark."""
-    return annotate(news.withWatermark("pub", delay).dropDuplicatesWithinWatermark(["guid"]))
+    return annotate(news.withWatermark("pub", delay).dropDuplicatesWithinWatermark(["guid"]), lexicon)
 
 
 def stream_news_tally(annotated: DataFrame, every: str = "10 minutes") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barquet.functions.series import STEP_MS
-from barquet.operators import cleaning, indicators, learning, news, predictions, profile, scoring, statistics, structure
+from barquet.operators import cleaning, indicators, learning, news, predictions, profile, reports, scoring, statistics, structure
 from barquet.sources import bars as B
 from barquet.sources import files
 from barquet.streaming import live
@@ -180,8 +180,9 @@ def test_scores_scan_backtest(spark):
 
 def test_news(spark):
     rows = [("1", "Breaking: missile strike, BTC and $SOL plunge", "war fears", "Reuters"), ("2", "<b>Fed</b> rate cut &amp; rally", None, "x"), ("3", "Fails to also rally", "", None)]
-    got = {r.guid: r for r in news.annotate(spark.createDataFrame([(g, t, s, src) for g, t, s, src in rows], "guid string, title string, summary string, source string")).collect()}
-    assert got["1"].primary == "WAR" and got["1"].high_impact and set(got["1"].symbols) == {"SOL", "BTC"} and got["1"].label == "bearish" or got["1"].sentiment < 0
+    got = {r.guid: r for r in news.annotate(spark.createDataFrame([(g, t, s, src) for g, t, s, src in rows], "guid string, title string, summary string, source string"), {"rally": 1.5, "plunge": -2.0}).collect()}
+    assert got["1"].primary == "WAR" and got["1"].high_impact and set(got["1"].symbols) == {"SOL", "BTC"}
+    assert got["1"].label == "bearish" and got["1"].sentiment < 0
     assert got["2"].title == "Fed rate cut & rally" and got["2"].primary == "FED" and got["2"].sentiment > 0
     assert got["3"].sentiment < 0
 
@@ -256,3 +257,48 @@ def test_streams(spark, tmp_path):
     ticks = source().select("symbol", F.timestamp_millis("t").alias("ts"), F.col("c").alias("price"), F.col("v").alias("size"))
     formed = rows(live.form_bars(ticks, "5m", "1 minute"), "formed")
     assert [(r.o, r.h, r.v) for r in sorted(formed, key=lambda r: r.t)][0] == (1.0, 4.0, 5.0)
+
+
+def test_committed_states(spark):
+    """Three bars of another state commit it; shorter runs, and a return, don't."""
+    states = ["a", "b", "b", "a", "b", "b", "b", "b", "a", "a", "c", "c", "c", "a", "a", "a"]
+    df = spark.createDataFrame([("S", "1d", T0 + k * DAY, x) for k, x in enumerate(states)], "symbol string, tf string, t long, x string")
+    got = reports.committed_states(df, F.col("x")).orderBy("t").collect()
+    current, pending, count, want = None, None, 0, []
+    for x in states:
+        if current is None:
+            current = x
+        elif x == current:
+            pending, count = None, 0
+        else:
+            pending, count = x, count + 1 if pending == x else 1
+            if count >= 3:
+                current, pending, count = x, None, 0
+        want.append(current)
+    assert [r.committed for r in got] == want
+    assert [r.changed for r in got] == [k == 0 or want[k] != want[k - 1] for k in range(len(want))]
+    assert got[5].dwell == 5 and got[6].dwell == 0 and got[7].dwell == 1
+
+
+def test_reports(spark):
+    f = spark.createDataFrame([("S", "1d", k, k != 3, float(k), 1.0) for k in range(4)], "symbol string, tf string, t long, valid boolean, x double, y double")
+    got = {r.name: r for r in reports.latest_feature_z(f, ["x", "y"]).collect()}
+    assert got["x"].t == 2 and got["x"].raw == 2.0 and got["x"].z == 1.0 and got["y"].z == 0.0
+    s = spark.createDataFrame([("S", "1d", 1, 0.5, 0.5, -1.0, 1.0, None, None)], "symbol string, tf string, t long, s_a double, c_a double, `s_b-c` double, `c_b-c` double, s_d double, c_d double")
+    assert [(r["rank"], r.module, r.signal) for r in reports.top_modules(s, ["a", "b-c", "d"], 2).orderBy("rank").collect()] == [(1, "b-c", -1.0), (2, "a", 0.5)]
+    times = spark.createDataFrame([("A", 1000), ("B", 1000), ("A", 90_000)], "symbol string, t long")
+    cal = spark.createDataFrame([(1, 900, 50, 2.0, ["A"]), (2, 1000, None, 3.0, None), (3, 1900, None, 0.5, None)], "id long, at long, duration_ms long, impact double, symbols array<string>")
+    got = sorted((r.symbol, r.event_id, r.phase, r["rank"]) for r in reports.events_near(times, cal, 1000, 1.0).collect())
+    assert got == [("A", 1, "after", 2), ("A", 2, "during", 1), ("B", 2, "during", 1)]
+    letters = spark.createDataFrame([(k,) for k in (0, 25, 26, 701)], "i long").select(reports.tpo_letter(F.col("i")).alias("x")).collect()
+    assert [r.x for r in letters] == ["A", "Z", "AA", "ZZ"]
+
+
+def test_equal_rows_stay_as_many(spark):
+    bars = spark.createDataFrame([("A", "1h", 0)] * 2 + [("A", "1h", 10**9)], "symbol string, tf string, t long")
+    cal = spark.createDataFrame([(7, 1000, 0, 1.0)], "id long, at long, duration_ms long, impact double")
+    got = [(r.t, r.event_id, r.phase) for r in predictions.tag_events(bars, cal).collect()]
+    assert got.count((0, 7, "pre")) == 2 and (10**9, None, None) in got and len(got) == 3
+    left = spark.createDataFrame([("A", 5)] * 2, "symbol string, t long")
+    right = spark.createDataFrame([("A", 4, 1), ("A", 6, 2)], "symbol string, t long, id long")
+    assert [(r.near_t, r.near_id) for r in predictions.nearest_in_time(left, right, ["symbol"], 10, ["id"]).collect()] == [(6, 2)] * 2
