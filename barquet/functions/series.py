@@ -48,3 +48,11 @@ def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
 def plus(schema: T.StructType, more: str) -> T.StructType:
     """A schema and further columns, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for the many branches that read it: a checkpoint in the shared folder if the session has one, else a cache.
+
+    Both keep the partitioning of the series.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

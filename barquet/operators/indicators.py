@@ -191,8 +191,7 @@ def _recursive(bars: pd.DataFrame) -> pd.DataFrame:
     adx[np.flatnonzero(live)] = wilder(dx, 14)
     out["plus_di"], out["minus_di"], out["adx14"] = _after(p, n), _after(m, n), _after(adx, n)
     out["psar"], trend = _psar(h, low)
-    table = {k: pd.Series(v, bars.index).astype(object).where(~np.isnan(v), None) for k, v in out.items()}
-    return bars.assign(**table, psar_trend=trend)
+    return bars.assign(**out, psar_trend=trend)  # Arrow makes nulls of nan
 
 
 def recursive(df: DataFrame) -> DataFrame:

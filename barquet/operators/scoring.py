@@ -2,7 +2,8 @@
 
 A module is a pair of columns, signal in [-1, 1] and confidence in [0, 1], of a bar's own row; all
 that it sees is known at that bar, so one pass scores every bar for scans and backtests alike.
-Further modules join by ``register_module``.
+Further modules join by ``register_module``. A scan's last bars get the modules of
+``structure_signals`` besides.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import SERIES, clamp, in_order, last_rows
+from ..functions.series import SERIES, clamp, in_order, index, last_rows, settled
 from . import indicators as I
+from . import structure as S
+from . import structure_signals as G
+from .structure import session_of
 
 Module = Callable[[], tuple[Column, Column]]
 MODULES: dict[str, tuple[float, Module]] = {}
@@ -63,33 +67,91 @@ def mean_reversion() -> tuple[Column, Column]:
     return signal, conf
 
 
-@register_module("breakout", 1.0)
+@register_module("momentum", 1.0)
+def momentum() -> tuple[Column, Column]:
+    """The MACD histogram: its side, its size against the price, whether it grows, and whether the rate of change agrees."""
+    w, hist = in_order(), F.col("macd_hist")
+    before, earlier = F.lag("macd_hist").over(w), F.lag("macd_hist", 2).over(w)
+    side, toward = F.signum(hist), F.when(hist < 0, -1.0).otherwise(1.0)
+    grows = (hist - before) * toward > 0
+    twice = grows & F.coalesce((before - earlier) * toward > 0, F.lit(False))
+    size = F.when(F.col("c") > 0, F.least(F.lit(1.0), F.abs(hist) / F.col("c") * 2000)).otherwise(0.0)
+    drift = F.coalesce(F.signum("roc10"), F.lit(0.0))
+    agrees = drift == side
+    ok = hist.isNotNull() & before.isNotNull()
+    signal = side * (0.3 + 0.7 * size + F.when(grows, 0.4).otherwise(-0.1) + F.when(agrees, 0.3).when(drift == 0, 0.0).otherwise(-0.2))
+    conf = 0.5 * size + F.when(grows, 0.25).otherwise(0.0) + F.when(twice, 0.1).otherwise(0.0) + F.when(agrees, 0.15).otherwise(0.0)
+    return F.when(ok, signal).otherwise(0.0), F.when(ok, conf).otherwise(0.0)
+
+
+@register_module("breakout", 1.1)
 def breakout() -> tuple[Column, Column]:
-    """A close beyond the extremes of the 20 bars before, weighed by volume."""
-    before = in_order().rowsBetween(-20, -1)
-    n, high, low = F.count("c").over(before), F.max("h").over(before), F.min("l").over(before)
-    side = F.when(F.col("c") > high, 1.0).when(F.col("c") < low, -1.0).otherwise(0.0)
-    conf = F.least(F.lit(1.0), 0.4 + 0.3 * F.greatest(F.lit(0.0), F.coalesce("rel_volume", F.lit(1.0)) - 1))
-    return F.when(n < 20, 0.0).otherwise(0.6 * side), F.when((n < 20) | (side == 0), 0.0).otherwise(conf)
+    """The last structure break of the ten bars before: its kind, its age and the volume on its bar."""
+    age, rel = F.col("break_age"), F.coalesce("break_volume", F.lit(1.0))
+    crowd = F.when(rel >= 2, 0.3).when(rel >= 1.5, 0.2).when(rel >= 1.2, 0.1).otherwise(0.0)
+    fresh = F.when(age <= 2, 0.25).when(age <= 5, 0.15).otherwise(0.05)
+    base = F.when(F.col("break_type") == "CHoCH", 0.4).otherwise(0.5)
+    near = age <= 10
+    return F.when(near, F.col("break_side") * F.least(F.lit(1.0), base + crowd + fresh)).otherwise(0.0), F.when(age.isNull(), 0.0).when(near, base + crowd + 0.8 * fresh).otherwise(0.05)
 
 
-@register_module("volume", 0.8)
-def volume_signal() -> tuple[Column, Column]:
-    """Money flow of 20 bars, trusted with unusual volume."""
-    return F.coalesce(clamp(F.col("cmf20") * 2, -1, 1), F.lit(0.0)), F.when(F.col("cmf20").isNull(), 0.0).otherwise(clamp(F.coalesce("rel_volume", F.lit(1.0)) / 3, 0, 1))
+@register_module("volatility-regime", 0.7)
+def volatility_regime() -> tuple[Column, Column]:
+    """Bands narrow against their mean of 50 bars announce a move to the side of the MACD histogram; wide ones say little."""
+    mean, n, width = F.avg("bb_width").over(last_rows(50)), F.count("bb_width").over(last_rows(50)), F.col("bb_width")
+    side = F.coalesce(F.signum("macd_hist"), F.lit(0.0))
+    tight, wide = (n >= 2) & (width < 0.7 * mean), (n >= 2) & (width > 1.3 * mean)
+    conf = F.when(width.isNull(), 0.0).when(tight, F.when(side != 0, 0.3).otherwise(0.1)).when(wide, 0.1).otherwise(0.15)
+    return F.when(width.isNotNull() & tight, 0.25 * side).otherwise(0.0), conf
 
 
-@register_module("volatility-regime", 0.6)
-def volatility_regime() -> tuple[Column, Column]:
-    """Narrow bands against their mean of 100 bars announce a move in the direction of momentum."""
-    mean, n = F.avg("bb_width").over(last_rows(100)), F.count("bb_width").over(last_rows(100))
-    tight = F.col("bb_width") < 0.7 * mean
-    return F.when((n >= 100) & tight, F.signum(F.coalesce("macd_hist", F.lit(0.0))) * 0.3).otherwise(0.0), F.when(n < 100, 0.0).when(tight, 0.4).otherwise(0.1)
+@register_module("volume-profile", 0.8)
+def volume_signal() -> tuple[Column, Column]:
+    """Slope of the volume balance and money flow: the stronger of both, more so when they agree or volume surges."""
+    w = in_order()
+    then = F.lag("obv", 20).over(w)
+    slope = F.coalesce(F.when(F.abs(then) > 1, (F.col("obv") - then) / F.abs(then)), F.lit(0.0))
+    flow = F.coalesce("cmf20", F.lit(0.0))
+    sign = lambda x, least: F.when(x > least, 1.0).when(x < -least, -1.0).otherwise(0.0)
+    obv, cmf = sign(slope, 0.005), sign(flow, 0.05)
+    usual = F.avg("v").over(w.rowsBetween(-20, -1))
+    surge = F.when(F.coalesce(F.col("v") >= 1.5 * usual, F.lit(False)) & (usual > 0), 1.0).otherwise(0.0)
+    agree = F.when((obv != 0) & (obv == cmf), 1.0).otherwise(0.0)
+    strength = F.greatest(F.least(F.lit(1.0), 2 * F.abs(flow)), F.least(F.lit(1.0), 10 * F.abs(slope)))
+    side = F.when(obv != 0, obv).otherwise(cmf)
+    return side * (0.3 + 0.5 * strength + 0.1 * surge + 0.1 * agree), 0.25 + 0.35 * strength + 0.2 * agree + 0.1 * surge
+
+
+# fixed values: shapes that speak for a rise and for a fall in this module
+RISING, FALLING = ["hammer", "bullEngulf", "morningStar"], ["bearEngulf", "eveningStar"]
+
+
+@register_module("candle-patterns", 0.7)
+def candle_signal() -> tuple[Column, Column]:
+    """The last shapes of four bars; a reversal counts most against the trend."""
+    age, names = F.col("shape_age"), F.col("shape_names")
+    against = lambda side: F.when(F.col("trend") == side, 0.7).when(F.col("trend") == "range", 0.45).otherwise(0.25)
+    of = lambda wanted, side: F.when(F.arrays_overlap(names, F.array(*map(F.lit, wanted))), against(side)).otherwise(0.0)
+    up, down = of(RISING, "down"), of(FALLING, "up")
+    side, score = F.when(up >= down, 1.0).otherwise(-1.0), F.greatest(up, down)
+    fresh = F.when(age == 0, 0.15).when(age == 1, 0.08).otherwise(0.0)
+    near, sided = age <= 3, score > 0
+    return F.when(near & sided, side * F.least(F.lit(1.0), score + fresh)).otherwise(0.0), F.when(age.isNull() | (near & ~sided), 0.0).when(near, 0.9 * score + fresh).otherwise(0.05)
+
+
+@register_module("session-calendar", 0.5)
+def session_calendar() -> tuple[Column, Column]:
+    """No side of its own; its multiplier (``session_multiplier``) weighs all other modules."""
+    s = session_of(F.col("t"))
+    return F.lit(0.0), F.when(s == "off-hours", 0.1).when(s.isin("london", "ny-am"), 0.25).otherwise(0.2)
 
 
 def prepared(bars: DataFrame) -> DataFrame:
     """All columns that the modules read, over one partitioning of the series."""
-    return I.bull_features(I.volume(I.bands(I.recursive(bars))))
+    df = I.bull_features(I.volume(I.bands(I.recursive(S.running_structure(S.with_patterns(bars))))))
+    shown = F.when(F.size("patterns") > 0, F.struct(index().alias("i"), F.col("patterns").alias("names")))
+    df = df.withColumns({"roc10": I.roc(10), "_shape": shown}).withColumn("_shape", F.last("_shape", True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumns({"shape_age": index() - F.col("_shape.i"), "shape_names": F.col("_shape.names")}).drop("_shape", "patterns")
 
 
 def module_signals(df: DataFrame, only: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -103,27 +165,45 @@ def module_signals(df: DataFrame, only: list[str] | None = None, exclude: list[s
 
 
 def orchestrate(df: DataFrame, weights: dict[str, float] | None = None, calibrator: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Add score (weighted mean of signal times confidence over modules with something to say), probability, confidence, direction, participating."""
+    """Add score (weighted mean of signal times confidence over modules with something to say), probability, confidence, direction, participating.
+
+    All modules take part whose s_ and c_ columns ``df`` has, those of the last bar (``structure_signals``)
+    too. With the session's module, the other confidences are multiplied by the session's factor; a boolean
+    column in_event marks bars around an event.
+    """
     total, weight, conf, n = (F.lit(0.0) for _ in range(4))
-    for name, (default, _) in MODULES.items():
+    events = F.coalesce("in_event", F.lit(False)) if "in_event" in df.columns else None
+    df = df.withColumn("_factor", G.session_multiplier(F.col("t"), events) if "s_session-calendar" in df.columns else F.lit(1.0))
+    for name, default in ({k: w for k, (w, _) in MODULES.items()} | G.WEIGHTS).items():
         if f"s_{name}" in df.columns:
             w = float((weights or {}).get(name, default))
             s, c = F.col(f"`s_{name}`"), F.col(f"`c_{name}`")
+            if name != "session-calendar":
+                c = F.least(F.lit(1.0), c * F.col("_factor"))
+            elif events is not None:
+                c = F.when(events, F.greatest(F.lit(0.0), c - 0.15)).otherwise(c)
             says = (~((c < 0.05) & (F.abs(s) < 0.1))).cast("double")
             total, weight, conf, n = total + says * s * c * w, weight + says * w, conf + says * c, n + says
-    df = df.withColumns({"score": F.when(weight > 0, total / weight).otherwise(0.0), "confidence": F.when(n > 0, conf / n).otherwise(0.0), "participating": n.cast("int")})
+    df = df.withColumns({"_total": total, "_weight": weight, "_conf": conf, "_n": n})
+    df = df.withColumns({"score": F.when(F.col("_weight") > 0, F.col("_total") / F.col("_weight")).otherwise(0.0), "confidence": F.when(F.col("_n") > 0, F.col("_conf") / F.col("_n")).otherwise(0.0), "participating": F.col("_n").cast("int")}).drop("_total", "_weight", "_conf", "_n", "_factor")
     p = calibrator(F.col("score")) if calibrator else 1 / (1 + F.exp(F.col("score") * -3))
     return df.withColumn("probability", clamp(p, 0, 1)).withColumn("direction", F.when(F.col("probability") > 0.55, "long").when(F.col("probability") < 0.45, "short").otherwise("neutral"))
 
 
+def newest_signals(bars: DataFrame) -> DataFrame:
+    """The last bar of each series with the columns of ``prepared``, n_bars, and s_ and c_ of every module, structure included."""
+    df = settled(prepared(bars))
+    w = Window.partitionBy(*SERIES).orderBy(F.desc("t"))
+    newest = module_signals(df).withColumns({"_r": F.row_number().over(w), "n_bars": F.count("*").over(Window.partitionBy(*SERIES))}).filter("_r = 1").drop("_r")
+    return newest.join(G.of_last_bars(df), SERIES, "left").fillna(0.0, [f"{x}_{m}" for m in G.WEIGHTS for x in "sc"])
+
+
 def scan(bars: DataFrame, n_bars: int = 300, least: int = 50, limit: int | None = None) -> DataFrame:
-    """The last bar of each series with its score, ranked by |score| * confidence * probability; short series say no-data."""
+    """The last bar of each series with the score of all modules, ranked by |score| * confidence * probability; short series say no-data."""
     w = Window.partitionBy(*SERIES).orderBy(F.desc("t"))
-    bars = bars.withColumns({"_r": F.row_number().over(w)}).filter(F.col("_r") <= n_bars)
-    scored = orchestrate(module_signals(prepared(bars.drop("_r"))))
-    newest = scored.withColumns({"_r": F.row_number().over(w), "n_bars": F.count("*").over(Window.partitionBy(*SERIES))}).filter("_r = 1")
+    newest = orchestrate(newest_signals(bars.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_bars).drop("_r")))
     fine = F.col("n_bars") >= least
-    out = newest.select(*SERIES, "t", "c", "n_bars", F.when(fine, "ok").otherwise("no-data").alias("status"), *[F.when(fine, F.col(x)).alias(x) for x in ("score", "confidence", "probability", "direction")])
+    out = newest.select(*SERIES, "t", "c", "n_bars", F.when(fine, "ok").otherwise("no-data").alias("status"), *[F.when(fine, F.col(x)).alias(x) for x in ("score", "confidence", "probability", "direction", "participating")])
     part = lambda x: F.when(F.coalesce(x, F.lit(0.0)) == 0, 0.5).otherwise(F.abs(x))
     out = out.withColumn("rank_value", part(F.col("score")) * part(F.col("confidence")) * part(F.col("probability"))).orderBy(F.desc("rank_value"), *SERIES)
     return out if limit is None else out.limit(limit)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import DAY_MS, SERIES, in_order, index, plus
+from ..functions.series import DAY_MS, SERIES, in_order, index, last_rows, plus
 
 
 def _apart(df: DataFrame, *columns: str) -> DataFrame:
@@ -119,6 +119,51 @@ def structure_breaks(bars: DataFrame, piv: DataFrame) -> DataFrame:
     return bars.select(*SERIES, "t", "c").groupBy(*SERIES).cogroup(_apart(piv, "i", "kind", "price").groupBy(*SERIES)).applyInPandas(run, "symbol string, tf string, i long, t long, type string, dir string, level double")
 
 
+def _running(b: pd.DataFrame) -> pd.DataFrame:
+    b = b.sort_values("t")
+    n = len(b)
+    sides, ages, kinds, rel, trends = np.zeros(n, np.int32), np.full(n, -1, np.int64), [None] * n, np.full(n, np.nan), [None] * n
+    close, volume, high, low = (b[k].to_numpy(float) for k in ("c", "_rel", "_ph", "_pl"))
+    top = bottom = np.nan  # pivots that no close has gone beyond yet
+    before, recent, trend, way = {}, [], "unknown", 0
+    at = side = kind = crowd = None
+    for i in range(n):
+        for name, price, up, down in (("low", low[i], "HL", "LL"), ("high", high[i], "HH", "LH")):
+            if price == price:
+                recent = [*recent[-3:], (name, None if name not in before else up if price > before[name] else down)]
+                before[name] = price
+                seen = dict(recent)
+                pair = (seen.get("high"), seen.get("low"))
+                trend = "unknown" if len(seen) < 2 else {("HH", "HL"): "up", ("LH", "LL"): "down"}.get(pair, "range")
+        top, bottom = high[i] if high[i] == high[i] else top, low[i] if low[i] == low[i] else bottom
+        way_now = 1 if close[i] > top else -1 if close[i] < bottom else 0
+        if way_now:
+            at, side, kind, crowd = i, way_now, "CHoCH" if way == -way_now else "BoS", volume[i]
+            way = way_now
+            top, bottom = (np.nan, bottom) if way_now > 0 else (top, np.nan)
+        trends[i] = trend
+        if at is not None:
+            sides[i], ages[i], kinds[i], rel[i] = side, i - at, kind, crowd
+    known = ages >= 0
+    return b.drop(columns=["_rel", "_ph", "_pl"]).assign(trend=trends, break_side=pd.Series(sides, b.index, dtype="Int32").where(known), break_age=pd.Series(ages, b.index, dtype="Int64").where(known), break_type=kinds, break_volume=rel)
+
+
+def running_structure(df: DataFrame) -> DataFrame:
+    """Add trend, and side, age, type and relative volume of the last break, each as it is known at the bar.
+
+    A pivot counts from the second bar after it, which confirms it, so no later bar is looked at.
+    trend is that of the last four pivots, as in ``current_trend``.
+    """
+    w = in_order()
+    lag = lambda x, k: F.lag(x, k).over(w)
+    settled_pivot = lambda x, sign: F.when((F.greatest(sign * lag(x, 3), sign * lag(x, 4)) < sign * lag(x, 2)) & (F.greatest(sign * lag(x, 1), sign * F.col(x)) <= sign * lag(x, 2)) & lag(x, 4).isNotNull(), lag(x, 2))
+    mean = F.avg("v").over(last_rows(20))
+    df = df.select([c for c in df.columns if c not in ("trend", "break_side", "break_age", "break_type", "break_volume")])
+    schema = plus(df.schema, "trend string, break_side int, break_age long, break_type string, break_volume double")
+    df = df.withColumns({"_rel": F.when(mean > 0, F.col("v") / mean), "_ph": settled_pivot("h", 1), "_pl": settled_pivot("l", -1)})
+    return df.groupBy(*SERIES).applyInPandas(_running, schema)
+
+
 def as_of_pivots(df: DataFrame, piv: DataFrame) -> DataFrame:
     """Bars with i and the prices of the last high and low pivot strictly before each."""
     by = piv.groupBy(*SERIES, "i").agg(F.max(F.when(F.col("kind") == "high", F.col("price"))).alias("_ph"), F.max(F.when(F.col("kind") == "low", F.col("price"))).alias("_pl"))
@@ -196,16 +241,23 @@ def sr_levels(piv: DataFrame, tolerance: DataFrame, half_life: float = 500, top:
     return out.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r", "_cluster")
 
 
-def trendlines(piv: DataFrame, lookback: int = 8) -> DataFrame:
+def trendlines(piv: DataFrame, lookback: int = 8, tolerance: DataFrame | None = None) -> DataFrame:
     """(symbol, tf, kind, slope, intercept, r2, n): least squares through the last pivots of each kind.
 
     Fewer than three pivots make no line. Without variance in x the slope is 0, in y R2 is 0.
+    With ``tolerance`` (symbol, tf, tolerance), also touches, the pivots that near to the line, and
+    score: R2, less with under four touches.
     """
     rank = F.row_number().over(Window.partitionBy(*SERIES, "kind").orderBy(F.desc("i")))
     last = piv.withColumn("_r", rank).filter(F.col("_r") <= lookback)
-    line = last.groupBy(*SERIES, "kind").agg(F.regr_slope("price", "i").alias("_s"), F.regr_intercept("price", "i").alias("_b"), F.regr_r2("price", "i").alias("_r2"), F.avg("price").alias("_m"), F.var_pop("price").alias("_v"), F.count("*").alias("n")).filter("n >= 3")
+    line = last.groupBy(*SERIES, "kind").agg(F.regr_slope("price", "i").alias("_s"), F.regr_intercept("price", "i").alias("_b"), F.regr_r2("price", "i").alias("_r2"), F.avg("price").alias("_m"), F.var_pop("price").alias("_v"), F.count("*").alias("n"), F.collect_list(F.struct("i", "price")).alias("_p")).filter("n >= 3")
     r2 = F.when(F.col("_v") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_r2", F.lit(0.0)))))
-    return line.select(*SERIES, "kind", F.coalesce("_s", F.lit(0.0)).alias("slope"), F.coalesce("_b", "_m").alias("intercept"), r2.alias("r2"), "n")
+    line = line.select(*SERIES, "kind", F.coalesce("_s", F.lit(0.0)).alias("slope"), F.coalesce("_b", "_m").alias("intercept"), r2.alias("r2"), "n", "_p")
+    if tolerance is None:
+        return line.drop("_p")
+    near = lambda p: F.abs(p["price"] - (F.col("slope") * p["i"] + F.col("intercept"))) <= F.col("tolerance")
+    line = line.join(tolerance, SERIES).withColumn("touches", F.size(F.filter("_p", near)))
+    return line.withColumn("score", F.col("r2") * F.least(F.lit(1.0), F.col("touches") / 4)).drop("_p", "tolerance")
 
 
 def premium_discount(bars: DataFrame, piv: DataFrame) -> DataFrame:
@@ -238,10 +290,11 @@ def prev_day_high_low(df: DataFrame) -> DataFrame:
     return days.withColumns({"prev_high": F.lag("high").over(w), "prev_low": F.lag("low").over(w)})
 
 
-def candle_patterns(df: DataFrame) -> DataFrame:
-    """(symbol, tf, t, patterns): names of the shapes that end at each bar, in a fixed order; bars without any are left out."""
+def with_patterns(df: DataFrame) -> DataFrame:
+    """Add patterns: the names of the shapes that end at each bar, in a fixed order; empty without any."""
     w = in_order()
-    df = df.select(*SERIES, "t", "o", "h", "l", "c", *[F.lag(x, k).over(w).alias(f"{x}{k}") for k in (1, 2) for x in ("o", "h", "l", "c")])
+    before = [f"{x}{k}" for k in (1, 2) for x in "ohlc"]
+    df = df.withColumns({x: F.lag(x[0], int(x[1])).over(w) for x in before})
     c, o = F.col("c"), F.col("o")
     body, span = F.abs(c - o), F.col("h") - F.col("l")
     upper, lower = F.col("h") - F.greatest(o, c), F.least(o, c) - F.col("l")
@@ -263,4 +316,9 @@ def candle_patterns(df: DataFrame) -> DataFrame:
         "eveningStar": bull2 & bear & star & (c < half),
     }
     found = F.array_compact(F.array(*[F.when(x, F.lit(name)) for name, x in shapes.items()]))
-    return df.select(*SERIES, "t", found.alias("patterns")).filter(F.size("patterns") > 0)
+    return df.withColumn("patterns", found).drop(*before)
+
+
+def candle_patterns(df: DataFrame) -> DataFrame:
+    """(symbol, tf, t, patterns) of the bars that end a shape."""
+    return with_patterns(df.select(*SERIES, "t", "o", "h", "l", "c")).select(*SERIES, "t", "patterns").filter(F.size("patterns") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import DAY_MS, SERIES, in_order, rounded
+from ..functions.series import DAY_MS, SERIES, in_order, rounded, settled
 from ..operators import cleaning as C
 from ..operators import features as X
 from ..operators import indicators as I
@@ -375,7 +375,7 @@ def anti_patterns(spark, sf_dir):
 
 
 def _full(spark, sf_dir) -> DataFrame:
-    return I.moving(I.stochastic(M.prepared(lineitem_bars(spark, sf_dir))))
+    return I.moving(I.stochastic(I.bull_features(I.volume(I.bands(I.recursive(lineitem_bars(spark, sf_dir)))))))
 
 
 @query("feature_matrix")
@@ -453,16 +453,21 @@ def bias_grid(spark, sf_dir):
 
 @query("structure_scores")
 def structure_scores(spark, sf_dir):
+    bars = settled(M.prepared(lineitem_bars(spark, sf_dir)))
+    last = bars.groupBy(*SERIES).agg(F.max("t").alias("t"))
+    return rounded(G.fuse(G.stacked(bars), last), ["score", "confidence", "probability"], 5)
+
+
+@query("chart_patterns")
+def chart_patterns(spark, sf_dir):
     bars = S.indexed(I.recursive(lineitem_bars(spark, sf_dir)))
-    last = bars.groupBy(*SERIES).agg(F.max_by(F.struct("t", "i", "c", "atr14"), "t").alias("b")).select(*SERIES, "b.*")
-    plain = bars.drop("i")
-    piv = S.pivots(plain)
-    tol = last.select(*SERIES, (F.col("atr14") * 0.25).alias("tolerance"))
-    parts = [
-        G.support_resistance(last, S.sr_levels(piv, tol)), G.order_blocks(last, S.zone_mitigation(S.order_blocks(plain, piv), plain)), G.liquidity(last, S.sweeps(S.liquidity_levels(piv, tol), plain)),
-        G.premium_discount(S.premium_discount(plain, piv)), G.trendline(last, S.trendlines(piv)), G.candle_patterns(last, S.candle_patterns(plain)),
-    ]
-    signals = parts[0]
-    for part in parts[1:]:
-        signals = signals.unionByName(part)
-    return rounded(G.fuse(signals, last), ["score", "confidence", "probability"], 5)
+    last = bars.groupBy(*SERIES).agg(F.max("i").alias("last_i"), F.max_by("c", "t").alias("c"), F.max_by("atr14", "t").alias("atr14"))
+    return rounded(X.chart_patterns(S.pivots(bars.drop("i")), last), ["neckline", "target", "invalidation"], 4)
+
+
+@query("module_signals")
+def module_signals(spark, sf_dir):
+    """Every module's signal and confidence on the last bar of each series."""
+    newest = M.newest_signals(lineitem_bars(spark, sf_dir))
+    names = [c for c in newest.columns if c[:2] in ("s_", "c_")]
+    return newest.select(*KEY, *[F.round(f"`{c}`", 5).alias(c.replace("-", "_")) for c in names])
