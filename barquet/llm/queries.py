@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licences, line_dedup, media, packing, periodic_runs, pii, simhash, suffix_dedup, toxicity, vector_codes
+from . import decontaminate, language_id, licences, line_dedup, media, mixing, packing, periodic_runs, pii, simhash, suffix_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_licences": licences.op10,
+    "op11_mixing": mixing.op11,
     "op12_vector_codes": vector_codes.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_licences": licences.oracle_sql(), "op12_vector_codes": vector_codes.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_licences": licences.oracle_sql(), "op11_mixing": mixing.ORACLE, "op12_vector_codes": vector_codes.oracle_sql()}
