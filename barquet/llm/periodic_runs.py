@@ -15,6 +15,7 @@ widened to hold whole runs. ``screen=False`` builds them of all.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,7 +253,7 @@ def runs_of(rows: list[list[bytes]], screen: bool = True) -> list[list[tuple[int
     if not screen:
         return [tree_runs(words) for words in rows]
     bounds = np.cumsum([0, *map(len, rows)])
-    hashes = np.fromiter((hash(w) for words in rows for w in words), np.int64, int(bounds[-1]))
+    hashes = np.fromiter(map(hash, itertools.chain.from_iterable(rows)), np.int64, int(bounds[-1]))
     return [[(a + s, n, p) for a, b in own for s, n, p in tree_runs(words[a:b])] if own else [] for words, own in zip(rows, stretches(hashes, bounds), strict=True)]
 
 
@@ -293,16 +294,17 @@ def longest_run(runs: Column) -> Column:
 def planted(text: Column, doc_id: Column) -> Column:
     """The text that the query is asked for: one document in ten, by the checksum of its id, repeats from some word on."""
     h = F.crc32(doc_id.cast("string"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words).cast("long")
     g = F.floor(h / 10)
 
-    def repeat(words: Column) -> Column:
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8))
-        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+    def repeat(of: Column) -> Column:
+        words, a = of["words"], of["g"] % of["n"]
+        bound = F.array(F.struct(words.alias("words"), a.alias("a"), (1 + F.floor((of["n"] - a) / (3 + of["g"] % 8))).alias("p"), of["n"].alias("n")))
+        return F.transform(bound, lambda x: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda i: F.get(x["words"], F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"]).cast("int"))), " "))[0]
 
-    return F.when((h % 10 == 0) & (n > 0), repeat(words)).otherwise(text)
+    # a lambda's variable is computed once, what a lambda only mentions is computed for every word
+    words = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: F.struct(w.alias("words"), F.size(w).cast("long").alias("n"), g.alias("g")))
+    made = F.transform(words, lambda of: F.when(of["n"] > 0, repeat(of)))[0]
+    return F.when(h % 10 == 0, F.coalesce(made, text)).otherwise(text)
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
