@@ -107,13 +107,13 @@ def due_predictions(predictions: DataFrame, now: int) -> DataFrame:
     return predictions.filter(~F.coalesce("validated", F.lit(False)) & (F.col("close_at") <= now))
 
 
-def label_training_pool(contexts: DataFrame, verdicts: DataFrame, most: int = 5000) -> DataFrame:
+def label_training_pool(contexts: DataFrame, verdicts: DataFrame, most: int = 5000, tie: str = "realised_direction") -> DataFrame:
     """``contexts`` (prediction_id, created_at, ...) with label: 1, -1 or 0 by the verdict's realised_direction, null while there is none.
 
-    Of the labelled rows the newest ``most`` are kept, which is the pool's size; pending rows all stay.
+    The verdict validated last counts, of several at that time the one with the greatest ``tie``. Of the labelled rows the newest ``most`` are kept, which is the pool's size; pending rows all stay.
     """
     side = F.when(F.col("realised_direction") == "up", 1).when(F.col("realised_direction") == "down", -1).otherwise(0)
-    known = verdicts.groupBy("prediction_id").agg(F.max_by("realised_direction", "validated_at").alias("realised_direction")).withColumn("label", side).drop("realised_direction")
+    known = verdicts.groupBy("prediction_id").agg(F.max_by("realised_direction", F.struct("validated_at", tie)).alias("realised_direction")).withColumn("label", side).drop("realised_direction")
     rows = contexts.join(known, "prediction_id", "left")
     newest = rows.filter("label is not null").orderBy(F.desc("created_at"), "prediction_id").limit(most)
     return newest.unionByName(rows.filter("label is null"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ranks
 from ..functions.series import SERIES, in_order, index
 from .indicators import log_return
 
@@ -48,10 +49,9 @@ def psi(baseline: DataFrame, live: DataFrame, keys: list[str], value: str = "x",
     Bin edges are baseline order statistics, repeats removed; shares get ``eps``. A key needs rows
     of both sides. level: stable under 0.1, shift under 0.25, else major.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = baseline.filter(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    at = F.array(*[F.floor(F.lit(b / bins) * F.col("_n")).cast("int") for b in range(1, bins)])
-    edges = ranked.filter(F.array_contains(at, F.col("_r"))).groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_edges"))
+    at = F.array(*[F.floor(F.lit(b / bins) * F.col("n")) for b in range(1, bins)])
+    wanted = ranks.group_sizes(baseline, keys, value).select(*keys, F.explode(F.array_distinct(at)).alias("rank"))
+    edges = ranks.order_statistics(baseline, keys, value, wanted).groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_edges"))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         bucket = F.size(F.filter("_edges", lambda e: e < F.col(value)))
@@ -69,10 +69,8 @@ def psi(baseline: DataFrame, live: DataFrame, keys: list[str], value: str = "x",
 def ks_two_sample(a: DataFrame, b: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """(keys, n_a, n_b, d, p): largest distance of the two distribution functions, and its asymptotic p-value."""
     both = a.select(*keys, F.col(value).alias("_x"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*keys, F.col(value).alias("_x"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))).filter("_x is not null")
-    steps = both.groupBy(*keys, "_x").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    w, all_ = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    steps = steps.withColumns({"_ca": F.sum("_a").over(w), "_cb": F.sum("_b").over(w), "_na": F.sum("_a").over(all_), "_nb": F.sum("_b").over(all_)}).filter("_na > 0 and _nb > 0")
-    out = steps.groupBy(*keys).agg(F.max("_na").alias("n_a"), F.max("_nb").alias("n_b"), F.max(F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb"))).alias("d"))
+    steps = ranks.running_counts(both, keys, "_x", ["_a", "_b"]).filter("n__a > 0 and n__b > 0")
+    out = steps.groupBy(*keys).agg(F.max("n__a").alias("n_a"), F.max("n__b").alias("n_b"), F.max(F.abs(F.col("c__a") / F.col("n__a") - F.col("c__b") / F.col("n__b"))).alias("d"))
     n = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     lam = (n + 0.12 + 0.11 / n) * F.col("d")
     series = functools.reduce(lambda acc, j: acc + (2 if j % 2 else -2) * F.exp(-2.0 * j * j * lam * lam), range(1, 101), F.lit(0.0))
@@ -95,10 +93,9 @@ def calibration_report(df: DataFrame, keys: list[str], p: str = "p", y: str = "y
 
 def conformal_quantiles(scores: DataFrame, keys: list[str], score: str = "score", alpha: float = 0.1) -> DataFrame:
     """(keys, n, q): the ceil((n + 1)(1 - alpha))-th smallest score, infinite where that is beyond n."""
-    w = Window.partitionBy(*keys).orderBy(score)
-    ranked = scores.filter(F.col(score).isNotNull()).withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    k = F.ceil((F.col("_n") + 1) * F.lit(1 - alpha) - 1e-9)
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), F.coalesce(F.max(F.when(F.col("_r") == k, F.col(score))), F.lit(float("inf"))).alias("q"))
+    sizes = ranks.group_sizes(scores, keys, score).withColumn("rank", F.ceil((F.col("n") + 1) * F.lit(1 - alpha) - 1e-9) - 1)
+    found = ranks.order_statistics(scores, keys, score, sizes.select(*keys, "rank"))
+    return sizes.join(found, [*keys, "rank"], "left").select(*keys, "n", F.coalesce(score, F.lit(float("inf"))).alias("q"))
 
 
 def coverage(df: DataFrame, keys: list[str], y: str = "y", lo: str = "lo", hi: str = "hi") -> DataFrame:

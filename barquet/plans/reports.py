@@ -114,8 +114,9 @@ def due_predictions(spark, sf_dir):
 
 
 @query("training_pool", """
-with v as (select l_orderkey k, arg_max(l_returnflag, l_shipdate::varchar || l_linenumber) d from lineitem group by 1),
-x as (select o_orderkey prediction_id, o_orderdate created_at, case when d = 'R' then 1 when d = 'A' then -1 when d is not null then 0 end as label from orders left join v on k = o_orderkey)
+with l as (select l_orderkey k, l_shipdate::varchar || l_linenumber ts, case l_returnflag when 'R' then 'up' when 'A' then 'down' else 'flat' end d from lineitem),
+v as (select k, d from (select *, row_number() over (partition by k order by ts desc, d desc) r from l) where r = 1),
+x as (select o_orderkey prediction_id, o_orderdate created_at, case when d = 'up' then 1 when d = 'down' then -1 when d is not null then 0 end as label from orders left join v on k = o_orderkey)
 select * from (select * from x where label is not null order by created_at desc, prediction_id limit 5000) union all select * from x where label is null
 """)
 def training_pool(spark, sf_dir):

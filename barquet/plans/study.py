@@ -107,7 +107,10 @@ def autocorrelation(spark, sf_dir):
     return rounded(T.autocorrelation(T.returns(lineitem_bars(spark, sf_dir))), ["autocorr"])
 
 
-@query("relative_strength", f"with {BARS}, x as (select symbol, tf, t, c / {lag('c', 20)} - 1 r from b) select x.symbol, x.tf, x.t, round(x.r - y.r, 6) rel from x join x y on x.t = y.t and y.symbol = 'S1' where x.symbol <> 'S1' and x.r is not null and y.r is not null")
+@query("relative_strength", f"""
+with {BARS}, x as materialized (select symbol, tf, t, c / {lag('c', 20)} - 1 r from b), s as materialized (select t, r from x where symbol = 'S1' and r is not null)
+select x.symbol, x.tf, x.t, round(x.r - s.r, 6) rel from x join s on s.t = x.t where x.symbol <> 'S1' and x.r is not null
+""")
 def relative_strength(spark, sf_dir):
     return rounded(T.relative_strength(lineitem_bars(spark, sf_dir), "S1"), ["rel"])
 

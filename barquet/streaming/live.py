@@ -1,22 +1,14 @@
-"""Live forms of the jobs: forming bars, ordered closes with gaps, drift and news, on Structured Streaming."""
+"""Live forms of the jobs: forming bars, validation and news, on Structured Streaming; with those of ``stateful``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.series import SERIES, STEP_MS
 from ..operators.cleaning import validate
 from ..operators.news import annotate
-from ..operators.predictions import PageHinkley
-
-#: Bars that wait for one before them, for each series.
-PENDING = 120
-
+from .stateful import PENDING, order_closes, reorder_and_gaps, stream_calibration, stream_drift  # noqa: F401
 
 def stream_bars(bars: DataFrame, now: int, delay: str = "10 minutes") -> DataFrame:
     """Valid bars of a stream, each (symbol, tf, t) once within the watermark."""
@@ -32,61 +24,6 @@ def form_bars(ticks: DataFrame, tf: str = "1m", delay: str = "1 minute") -> Data
     return out.select("symbol", F.lit(tf).alias("tf"), F.unix_millis("w.start").alias("t"), "o", "h", "l", "c", "v")
 
 
-def order_closes(rows: list[tuple], last: int | None, pending: dict[int, tuple], step: int, most: int = PENDING) -> tuple[list[tuple], int | None]:
-    """Emit (kind, from, to, row) in order: bars, and gaps where more than one bar is missing and later ones wait.
-
-    Late bars go; a single missing bar is waited for until ``most`` bars wait.
-    """
-    out = []
-    for row in sorted(rows):
-        if last is None or row[0] > last:
-            pending.setdefault(row[0], row)
-    while pending:
-        first = min(pending)
-        if last is not None and first > last + step and first <= last + 2 * step and len(pending) < most:
-            break
-        if last is not None and first > last + step:
-            out.append(("gap", last + step, first - step, None))
-        out.append(("bar", first, first, pending.pop(first)))
-        last = first
-    return out, last
-
-
-def reorder_and_gaps(bars: DataFrame) -> DataFrame:
-    """(symbol, tf, kind, from_t, to_t, c) of closed bars in order, with gaps, for each series of a stream."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
-        pending = {int(t): (int(t), c) for t, c in waiting}
-        rows = [(int(t), float(c)) for f in frames for t, c in zip(f["t"], f["c"], strict=True)]
-        out, last = order_closes(rows, last, pending, STEP_MS[key[1]])
-        state.update((last, [list(map(float, x)) for x in pending.values()]))
-        if out:
-            yield pd.DataFrame([(*key, kind, a, b, row[1] if row else None) for kind, a, b, row in out], columns=["symbol", "tf", "kind", "from_t", "to_t", "c"])
-
-    return bars.groupBy(*SERIES).applyInPandasWithState(run, "symbol string, tf string, kind string, from_t long, to_t long, c double", "last long, pending array<array<double>>", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_drift(values: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """(symbol, tf, n, side) of Page-Hinkley alarms over a stream of (symbol, tf, t, x), n values since the last."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ph = PageHinkley(threshold=threshold)
-        if state.exists:
-            ph.n, ph.mean, ph.up, ph.down = state.get
-        rows = pd.concat(list(frames)).sort_values("t")
-        found = []
-        for x in rows["x"].dropna():
-            n = ph.n + 1
-            if side := ph.push(float(x)):
-                found.append((*key, n, side))
-        state.update((ph.n, ph.mean, ph.up, ph.down))
-        if found:
-            yield pd.DataFrame(found, columns=["symbol", "tf", "n", "side"])
-
-    return values.groupBy(*SERIES).applyInPandasWithState(run, "symbol string, tf string, n long, side string", "n long, mean double, up double, down double", "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_validate(preds: DataFrame, bars: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Predictions of a stream joined to the stream of closed bars at t plus a step; those without stay null past the watermark."""
     step = F.create_map(*[F.lit(x) for pair in STEP_MS.items() for x in pair])[F.col("tf")]
