@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import DAY_MS, SERIES, in_order, index, last_rows, plus
+from ..functions.sweep import first_sweep, first_touch
 
 
 def _apart(df: DataFrame, *columns: str) -> DataFrame:
@@ -57,33 +58,12 @@ def fvg_zones(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).filter("kind is not null").select(*SERIES, "i", "t", "kind", F.when(F.col("kind") == "bull", F.col("l")).otherwise(F.col("_l2")).alias("top"), F.when(F.col("kind") == "bull", F.col("_h2")).otherwise(F.col("h")).alias("bottom"))
 
 
-def _touches(bars: pd.DataFrame, zones: pd.DataFrame) -> np.ndarray:
-    """For each zone (i, top, bottom) the first later bar with l <= top and h >= bottom, or -1."""
-    h, low = bars["h"].to_numpy(), bars["l"].to_numpy()
-    out = np.full(len(zones), -1, np.int64)
-    open_ = np.arange(len(zones))
-    start, top, bottom = (zones[k].to_numpy() for k in ("i", "top", "bottom"))
-    step = 64  # zones mostly close soon: widen the view for those that stay open
-    at = start + 1
-    while len(open_):
-        left = open_[at[open_] < len(h)]
-        for z in left.tolist():
-            view = slice(at[z], at[z] + step)
-            hit = np.flatnonzero((low[view] <= top[z]) & (h[view] >= bottom[z]))
-            if len(hit):
-                out[z] = at[z] + hit[0]
-        open_ = left[out[left] < 0]
-        at[open_] += step
-        step *= 4
-    return out
-
-
 def zone_mitigation(zones: DataFrame, bars: DataFrame) -> DataFrame:
     """``zones`` with mitigated_i and mitigated_at: the first bar that touches each, null if none does."""
 
     def run(z: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("t")
-        at = _touches(b, z) if len(z) else np.zeros(0, np.int64)
+        at = first_touch(*(z[k].to_numpy() for k in ("i", "bottom", "top")), b["l"].to_numpy(float), b["h"].to_numpy(float))
         t = b["t"].to_numpy()
         hit = pd.Series(at, z.index).where(at >= 0)
         return z.assign(mitigated_i=hit.astype("Int64"), mitigated_at=pd.Series([int(t[k]) if k >= 0 else None for k in at], z.index, dtype="Int64"))
@@ -92,6 +72,19 @@ def zone_mitigation(zones: DataFrame, bars: DataFrame) -> DataFrame:
     return zones.groupBy(*SERIES).cogroup(_apart(bars, "t", "h", "l").groupBy(*SERIES)).applyInPandas(run, schema)
 
 
+def _breaks(close: np.ndarray, highs: np.ndarray, lows: np.ndarray) -> list[tuple[int, str, str, float]]:
+    """(i, type, dir, level) of closes beyond the last pivot that isn't spent; ``highs`` and ``lows`` have pivots' prices, else nan."""
+    found, trend, high, low = [], 0, np.nan, np.nan
+    for i, (c, new_high, new_low) in enumerate(zip(close.tolist(), highs.tolist(), lows.tolist(), strict=True)):
+        high = new_high if new_high == new_high else high
+        low = new_low if new_low == new_low else low
+        side = 1 if c > high else -1 if c < low else 0
+        if side:
+            found.append((i, "CHoCH" if trend == -side else "BoS", "up" if side > 0 else "down", high if side > 0 else low))
+            trend, high, low = side, (np.nan if side > 0 else high), (low if side > 0 else np.nan)
+    return found
+
+
 def structure_breaks(bars: DataFrame, piv: DataFrame) -> DataFrame:
     """(symbol, tf, i, t, type, dir, level): closes beyond the last pivot; against the trend a CHoCH, else a BoS.
 
@@ -104,14 +97,9 @@ def structure_breaks(bars: DataFrame, piv: DataFrame) -> DataFrame:
         level = {"high": np.full(len(b), np.nan), "low": np.full(len(b), np.nan)}
         for i, kind, price in zip(p["i"], p["kind"], p["price"], strict=True):
             level[kind][i] = price
-        rows, trend, high, low = [], 0, None, None
-        for i, (t, c, new_high, new_low) in enumerate(zip(b["t"], b["c"], level["high"], level["low"], strict=True)):
-            high = high if np.isnan(new_high) else new_high
-            low = low if np.isnan(new_low) else new_low
-            side = 1 if high is not None and c > high else -1 if low is not None and c < low else 0
-            if side:
-                rows.append((i, t, "CHoCH" if trend == -side else "BoS", "up" if side > 0 else "down", high if side > 0 else low))
-                trend, high, low = side, (None if side > 0 else high), (low if side > 0 else None)
+        found = _breaks(b["c"].to_numpy(float), level["high"], level["low"])
+        t = b["t"].tolist()
+        rows = [(i, t[i], kind, way, at) for i, kind, way, at in found]
         out = pd.DataFrame(rows, columns=["i", "t", "type", "dir", "level"])
         key = b if len(b) else p
         return out.assign(symbol=key["symbol"].iloc[0], tf=key["tf"].iloc[0])[["symbol", "tf", "i", "t", "type", "dir", "level"]]
@@ -187,6 +175,20 @@ def order_blocks(df: DataFrame, piv: DataFrame, impulse: float = 1.5, ahead: int
     return df.withColumn("kind", F.when(bull, "bull").when(bear, "bear")).filter("kind is not null").select(*SERIES, "i", "t", "kind", F.col("h").alias("top"), F.col("l").alias("bottom"))
 
 
+def _pools(price: np.ndarray, i: np.ndarray, tolerance: float, touches: int = 2) -> list[tuple[float, int, int]]:
+    """(price, touches, last_i) of the prices that stay within ``tolerance`` of their running mean, in order of price."""
+    rows, total, n, last = [], 0.0, 0, -1
+    order = np.lexsort((i, price))
+    for x, at in [*zip(price[order].tolist(), i[order].tolist(), strict=True), (None, -1)]:
+        if n and (x is None or abs(x - total / n) > tolerance):
+            if n >= touches:
+                rows.append((total / n, n, last))
+            total, n, last = 0.0, 0, -1
+        if x is not None:
+            total, n, last = total + x, n + 1, max(last, at)
+    return rows
+
+
 def liquidity_levels(piv: DataFrame, tolerance: DataFrame, touches: int = 2) -> DataFrame:
     """(symbol, tf, kind, price, touches, last_i): pivots of a kind whose prices stay within tolerance of their running mean.
 
@@ -194,33 +196,29 @@ def liquidity_levels(piv: DataFrame, tolerance: DataFrame, touches: int = 2) ->
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["price", "i"])
-        rows, total, n, last, tol = [], 0.0, 0, -1, float(p["tolerance"].iloc[0])
-        for price, i in [*zip(p["price"], p["i"], strict=True), (None, -1)]:
-            if n and (price is None or abs(price - total / n) > tol):
-                if n >= touches:
-                    rows.append((total / n, n, last))
-                total, n, last = 0.0, 0, -1
-            if price is not None:
-                total, n, last = total + price, n + 1, max(last, i)
         key = [p[k].iloc[0] for k in ("symbol", "tf", "kind")]
+        rows = _pools(p["price"].to_numpy(float), p["i"].to_numpy(), float(p["tolerance"].iloc[0]), touches)
         return pd.DataFrame([(*key, *r) for r in rows], columns=["symbol", "tf", "kind", "price", "touches", "last_i"])
 
     return piv.join(tolerance, SERIES).filter("tolerance > 0").groupBy(*SERIES, "kind").applyInPandas(run, "symbol string, tf string, kind string, price double, touches long, last_i long")
 
 
+def _swept(kind: str, after: np.ndarray, price: np.ndarray, close: np.ndarray, wick: np.ndarray) -> np.ndarray:
+    beyond = wick > close if kind == "high" else wick < close  # a wick of its side; without one no price lies between
+    return first_sweep(after, price, np.where(beyond, close, np.nan), np.where(beyond, wick, np.nan))
+
+
 def sweeps(levels: DataFrame, bars: DataFrame) -> DataFrame:
     """``levels`` with swept_i: the first bar after a level's last touch whose wick goes beyond while its close comes back; null if none."""
 
     def run(z: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("t")
-        h, low, c = (b[k].to_numpy() for k in ("h", "l", "c"))
-        out = []
-        for kind, price, last in zip(z["kind"], z["price"], z["last_i"], strict=True):
-            view = slice(last + 1, None)
-            hit = np.flatnonzero((h[view] > price) & (c[view] < price) if kind == "high" else (low[view] < price) & (c[view] > price))
-            out.append(int(last + 1 + hit[0]) if len(hit) else None)
-        return z.assign(swept_i=pd.Series(out, z.index, dtype="Int64"))
+        h, low, c = (b[k].to_numpy(float) for k in ("h", "l", "c"))
+        out = np.full(len(z), -1, np.int64)
+        for kind, wick in (("high", h), ("low", low)):
+            own = (z["kind"] == kind).to_numpy()
+            out[own] = _swept(kind, z["last_i"].to_numpy()[own], z["price"].to_numpy(float)[own], c, wick)
+        return z.assign(swept_i=pd.Series(out, z.index, dtype="Int64").where(out >= 0))
 
     return levels.groupBy(*SERIES).cogroup(_apart(bars, "t", "h", "l", "c").groupBy(*SERIES)).applyInPandas(run, plus(levels.schema, "swept_i long"))
 

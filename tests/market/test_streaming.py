@@ -14,17 +14,9 @@ from barquet.operators import features
 from barquet.operators.predictions import Adwin
 from barquet.streaming import stateful
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
 T0, MINUTE = 1_700_000_040_000 // 60_000 * 60_000, 60_000
 
 
-@pytest.fixture(scope="module", autouse=True)
-def rocks(spark):
-    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset(STORE)
-
-
 class Feed:
     """Files in a folder, read as a stream one file a batch; every run goes on from the checkpoint."""
 
