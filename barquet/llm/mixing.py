@@ -90,10 +90,14 @@ def schedule(sources: DataFrame, slots: int, places: int) -> DataFrame:
     return found.unionByName(ends)
 
 
+def _known(docs: DataFrame, sources: DataFrame, places: int) -> DataFrame:
+    known = _broadcast(sources.select(F.col("source").alias("_source"), "place", "source_size", "docs", "target", "quota", "blocks"), places)
+    return docs.join(known, docs["source"].eqNullSafe(F.col("_source"))).drop("_source")
+
+
 def _placed(docs: DataFrame, sources: DataFrame, places: int, carry: list[str]) -> DataFrame:
     """``docs`` (doc_id, source, size, key) with their source's columns and ``begin``, the words of the source before them."""
-    known = _broadcast(sources.select(F.col("source").alias("_source"), "place", "source_size", "docs", "target", "quota", "blocks"), places)
-    df = docs.join(known, docs["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    df = _known(docs, sources, places)
     buckets = F.ceil(F.sqrt("docs"))
     df = df.withColumn("_bucket", F.least(F.floor(F.col("key") / _KEYS * buckets), buckets - 1))
     sums = df.groupBy("place", "_bucket").agg(F.sum("size").alias("_words"))
@@ -106,7 +110,7 @@ def _placed(docs: DataFrame, sources: DataFrame, places: int, carry: list[str])
 
 def _pieces(placed: DataFrame) -> DataFrame:
     """A row for each block of either pass that a document shares; one with length null if it shares none."""
-    df = placed.filter("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
+    df = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
     df = df.withColumn("_at", F.col("begin") + F.col("turn") * F.col("source_size")).filter((F.col("turn") == 0) | (F.col("_at") < F.col("quota")))
     first = F.floor(F.col("_at") / BLOCK)
     last = F.least(F.floor((F.col("_at") + F.col("size") - 1) / BLOCK), F.col("blocks") - 1)
@@ -116,18 +120,19 @@ def _pieces(placed: DataFrame) -> DataFrame:
     return df.withColumns({"start": low - F.col("_at"), "at": low - F.col("block") * BLOCK, "length": F.when(length > 0, length)}).drop("_at")
 
 
-def prepared(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Documents in their places, pieces with their slots, targets, and the number of slots."""
+def prepared(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pieces of documents with their slots (null for those that the mix leaves), and documents without words."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     sized = common.cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(F.col(text)).alias("size"), key.alias("key"), *[F.col(c).alias(f"_{c}") for c in carry]))
     sources = common.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))))
     places, slots = sources.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0))).first()
-    placed = _placed(sized, sources, places, [f"_{c}" for c in carry])
-    own = schedule(sources.select("place", "blocks", "first"), slots, places) if slots else None
-    pieces = _pieces(placed)
-    pieces = pieces.join(own, ["place", "block"], "left") if slots else pieces.withColumn("slot", F.lit(None).cast("long"))
-    return placed, pieces, sources, slots
+    pieces = _pieces(_placed(sized.filter("size > 0"), sources, places, [f"_{c}" for c in carry]))
+    if slots:
+        pieces = pieces.join(schedule(sources.select("place", "blocks", "first"), slots, places), ["place", "block"], "left")
+    else:
+        pieces = pieces.withColumn("slot", F.lit(None).cast("long"))
+    return pieces, _known(sized.filter("size = 0"), sources, places)
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
@@ -139,7 +144,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> Dat
     good as any; repeated rows count each. Documents of one id are taken in order of their sizes.
     """
     carry = tuple(dict.fromkeys((*carry, text)))
-    _, pieces, *_ = prepared(docs, carry, text)
+    pieces, _ = prepared(docs, carry, text)
     taken = pieces.filter("slot is not null and length is not null")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col(f"_{text}"), F.lit(WORD), F.lit(0)), F.col("start").cast("int") + 1, F.col("length").cast("int")), " ")
     more = [F.col(f"_{c}").alias(c) for c in carry if c not in ("doc_id", "source", text)]
@@ -148,11 +153,10 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> Dat
 
 def taken(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, size, source_size, target, taken): a row for each row of ``docs``, with the words that the mix takes."""
-    placed, pieces, *_ = prepared(docs, text=text)
+    pieces, empty = prepared(docs, text=text)
     by = pieces.groupBy("place", "begin").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("length"))), F.lit(0)).alias("taken"))
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return by.select(columns).unionByName(none.select(columns))
+    return by.select(columns).unionByName(empty.withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
 def op11(spark, sf_dir: str) -> DataFrame:
