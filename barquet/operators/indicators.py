@@ -194,11 +194,13 @@ def _recursive(bars: pd.DataFrame) -> pd.DataFrame:
     return bars.assign(**out, psar_trend=trend)  # Arrow makes nulls of nan
 
 
+RECURSIVE_SCHEMA = ", ".join(f"{x} double" for x in RECURSIVE) + ", psar_trend int"
+
+
 def recursive(df: DataFrame) -> DataFrame:
     """Add ``RECURSIVE`` and psar_trend. A null price has no place in a series: filter (see cleaning) before."""
     df = df.select([c for c in df.columns if c not in {*RECURSIVE, "psar_trend"}])
-    schema = plus(df.schema, ", ".join(f"{x} double" for x in RECURSIVE) + ", psar_trend int")
-    return df.groupBy(*SERIES).applyInPandas(_recursive, schema)
+    return df.groupBy(*SERIES).applyInPandas(_recursive, plus(df.schema, RECURSIVE_SCHEMA))
 
 
 def keltner(df: DataFrame, k: float = 1.5) -> DataFrame:

@@ -148,7 +148,8 @@ def session_calendar() -> tuple[Column, Column]:
 
 def prepared(bars: DataFrame) -> DataFrame:
     """All columns that the modules read, over one partitioning of the series."""
-    df = I.bull_features(I.volume(I.bands(I.recursive(S.running_structure(S.with_patterns(bars))))))
+    series = S.running_structure(S.with_patterns(bars), I._recursive, I.RECURSIVE_SCHEMA)  # one pass over a series for all that looks back without end
+    df = I.bull_features(I.volume(I.bands(series)))
     shown = F.when(F.size("patterns") > 0, F.struct(index().alias("i"), F.col("patterns").alias("names")))
     df = df.withColumns({"roc10": I.roc(10), "_shape": shown}).withColumn("_shape", F.last("_shape", True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumns({"shape_age": index() - F.col("_shape.i"), "shape_names": F.col("_shape.names")}).drop("_shape", "patterns")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.series import DAY_MS, SERIES, in_order, index, last_rows, plus
@@ -136,9 +137,11 @@ def _running(b: pd.DataFrame) -> pd.DataFrame:
     return b.drop(columns=["_rel", "_ph", "_pl"]).assign(trend=trends, break_side=pd.Series(sides, b.index, dtype="Int32").where(known), break_age=pd.Series(ages, b.index, dtype="Int64").where(known), break_type=kinds, break_volume=rel)
 
 
-def running_structure(df: DataFrame) -> DataFrame:
+def running_structure(df: DataFrame, then=None, more: str = "") -> DataFrame:
     """Add trend, and side, age, type and relative volume of the last break, each as it is known at the bar.
 
+    ``then``: a further function over a series' frame that adds the columns ``more`` (DDL) in the same pass.
+
     A pivot counts from the second bar after it, which confirms it, so no later bar is looked at.
     trend is that of the last four pivots, as in ``current_trend``.
     """
@@ -146,10 +149,114 @@ def running_structure(df: DataFrame) -> DataFrame:
     lag = lambda x, k: F.lag(x, k).over(w)
     settled_pivot = lambda x, sign: F.when((F.greatest(sign * lag(x, 3), sign * lag(x, 4)) < sign * lag(x, 2)) & (F.greatest(sign * lag(x, 1), sign * F.col(x)) <= sign * lag(x, 2)) & lag(x, 4).isNotNull(), lag(x, 2))
     mean = F.avg("v").over(last_rows(20))
-    df = df.select([c for c in df.columns if c not in ("trend", "break_side", "break_age", "break_type", "break_volume")])
-    schema = plus(df.schema, "trend string, break_side int, break_age long, break_type string, break_volume double")
+    own = "trend string, break_side int, break_age long, break_type string, break_volume double" + (f", {more}" if more else "")
+    df = df.select([c for c in df.columns if c not in T.StructType.fromDDL(own).names])
+    schema = plus(df.schema, own)
     df = df.withColumns({"_rel": F.when(mean > 0, F.col("v") / mean), "_ph": settled_pivot("h", 1), "_pl": settled_pivot("l", -1)})
-    return df.groupBy(*SERIES).applyInPandas(_running, schema)
+    return df.groupBy(*SERIES).applyInPandas(_running if then is None else lambda b: then(_running(b)), schema)
+
+
+EVENTS = "tag string, i long, t long, kind string, name string, price double, top double, bottom double, prior double, hit_i long, hit_at long, touches long, rest long, atr double"
+
+
+def _events(b: pd.DataFrame) -> pd.DataFrame:
+    """One series' events out of its bars with ``structure_events``' columns."""
+    b = b.sort_values("t", ignore_index=True)
+    t = b["t"].to_numpy()
+    o, h, low, c, atr = (b[k].to_numpy(float) for k in ("o", "h", "l", "c", "atr14"))
+    span = atr[-1] if atr[-1] == atr[-1] else c[-1] * 0.01
+    parts = []
+
+    def put(tag: str, i: np.ndarray, **columns) -> None:
+        if len(i):
+            parts.append(pd.DataFrame({"tag": tag, "i": i, "t": t[i], **columns}))
+
+    def hits(at: np.ndarray) -> dict[str, pd.Series]:
+        found = pd.Series(at).where(at >= 0)
+        return {"hit_i": found.astype("Int64"), "hit_at": pd.Series(t[np.maximum(at, 0)]).where(at >= 0).astype("Int64")}
+
+    pivot = {"high": b["_ph"].to_numpy(float), "low": b["_pl"].to_numpy(float)}
+    for kind, price in pivot.items():
+        i = np.flatnonzero(price == price)
+        own, up, down = price[i], *(("HH", "LH") if kind == "high" else ("HL", "LL"))
+        prior = np.concatenate([[np.nan], own[:-1]])[: len(own)]
+        put("pivot", i, kind=kind, price=own, prior=prior, name=np.where(prior != prior, up[1], np.where(own > prior, up, down)))
+    walked = _breaks(c, pivot["high"], pivot["low"])
+    put("break", np.array([x[0] for x in walked], np.int64), kind=[x[2] for x in walked], name=[x[1] for x in walked], price=[x[3] for x in walked])
+    gap_top, gap_bottom = b["_gt"].to_numpy(float), b["_gb"].to_numpy(float)
+    i = np.flatnonzero(gap_top == gap_top)
+    put("gap", i, kind=b["_gk"].to_numpy()[i], top=gap_top[i], bottom=gap_bottom[i], **hits(first_touch(i, gap_bottom[i], gap_top[i], low, h)))
+    ready, hi, lo = (np.arange(len(b)) >= 1) & (b["_rest"].to_numpy() == IMPULSE_BARS) & (atr > 0), b["_hi"].to_numpy(float), b["_lo"].to_numpy(float)
+    bull = ready & (c < o) & (hi - low >= IMPULSE * atr) & (hi > b["_before_high"].to_numpy(float))
+    bear = ready & (c > o) & (h - lo >= IMPULSE * atr) & (lo < b["_before_low"].to_numpy(float))
+    i = np.flatnonzero(bull | bear)
+    put("block", i, kind=np.where(bull[i], "bull", "bear"), top=h[i], bottom=low[i], **hits(first_touch(i, low[i], h[i], low, h)))
+    for kind, wick in (("high", h), ("low", low)) if span > 0 else ():
+        i = np.flatnonzero(pivot[kind] == pivot[kind])
+        pools = _pools(pivot[kind][i], i, 0.25 * span)
+        price, after = np.array([x[0] for x in pools]), np.array([x[2] for x in pools], np.int64)
+        put("pool", after, kind=kind, price=price, touches=[x[1] for x in pools], **hits(_swept(kind, after, price, c, wick)))
+    if not parts:
+        return pd.DataFrame(columns=["tag"])
+    out = pd.concat(parts, ignore_index=True)
+    newest = out[out["tag"] == "pivot"].sort_values(["i", "kind"], ascending=[False, True]).index
+    return out.assign(atr=span, rest=pd.Series(np.arange(len(newest)), newest).reindex(out.index).astype("Int64"))
+
+
+# fixed values: true ranges and bars of an impulse
+IMPULSE, IMPULSE_BARS = 1.5, 3
+
+
+def structure_columns(df: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """What ``structure_events`` reads of a bar's neighbours, as window columns over the one order of a series."""
+    w = in_order()
+    n = F.count("*").over(Window.partitionBy(*SERIES))
+    df = df.withColumns({"_i": index(), "_n": n})
+    inside = (F.col("_i") >= left) & (F.col("_i") < F.col("_n") - right)
+    before, after, ahead = w.rowsBetween(-left, -1), w.rowsBetween(1, right), w.rowsBetween(1, IMPULSE_BARS)
+    high = inside & (F.max("h").over(before) < F.col("h")) & (F.max("h").over(after) <= F.col("h"))
+    low = inside & (F.min("l").over(before) > F.col("l")) & (F.min("l").over(after) >= F.col("l"))
+    h2, l2 = F.lag("h", 2).over(w), F.lag("l", 2).over(w)
+    df = df.withColumns({
+        "_ph": F.when(high, F.col("h")), "_pl": F.when(low, F.col("l")), "_gk": F.when(h2 < F.col("l"), "bull").when(l2 > F.col("h"), "bear"),
+        "_gt": F.when(h2 < F.col("l"), F.col("l")).when(l2 > F.col("h"), l2), "_gb": F.when(h2 < F.col("l"), h2).when(l2 > F.col("h"), F.col("h")),
+        "_hi": F.max("h").over(ahead), "_lo": F.min("l").over(ahead), "_rest": F.count("*").over(ahead),
+    })
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({"_before_high": F.last("_ph", True).over(past), "_before_low": F.last("_pl", True).over(past)}).drop("_i", "_n")
+
+
+def structure_events(bars: DataFrame) -> DataFrame:
+    """All structure of a series' bars (o, h, l, c, atr14) in one sort and one pass: a row an event, by ``tag``.
+
+    pivot (kind, price, name: class, prior, rest: how many pivots are newer), break (kind: dir, name: type, price: level),
+    gap and block (kind, top, bottom, hit_i and hit_at of the bar that mitigates), pool (kind, price, touches, i: last
+    touch, hit_i of the sweep). atr is what tolerances of the series count in: its last true range, or one percent of the close.
+    They are those of ``pivots``, ``structure_breaks``, ``fvg_zones``, ``order_blocks``, ``zone_mitigation``, ``liquidity_levels`` and ``sweeps``.
+    """
+    df = structure_columns(bars.select(*SERIES, "t", "o", "h", "l", "c", "atr14"))
+    return _tagged(df, _events)
+
+
+def _tagged(df: DataFrame, events, more: str = "") -> DataFrame:
+    columns = T.StructType.fromDDL(EVENTS + more)
+    kinds = {f.name: {"string": object, "bigint": "Int64"}.get(f.dataType.simpleString(), float) for f in columns}
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = events(b).reindex(columns=columns.names)
+        out = pd.DataFrame({k: out[k].astype(object).where(out[k].notna(), None) if kind is object else out[k].astype(kind) for k, kind in kinds.items()})
+        return out.assign(symbol=b["symbol"].iloc[0], tf=b["tf"].iloc[0])[[*SERIES, *columns.names]]
+
+    return df.groupBy(*SERIES).applyInPandas(run, T.StructType([T.StructField(k, T.StringType()) for k in SERIES] + columns.fields))
+
+
+def of_tag(events: DataFrame, tag: str) -> DataFrame:
+    """The events of a tag, in the columns of the job that makes them alone."""
+    columns = {
+        "pivot": ["i", "t", "price", "kind", "prior", "name as class"], "break": ["i", "t", "name as type", "kind as dir", "price as level"], "gap": ["i", "t", "kind", "top", "bottom", "hit_i as mitigated_i", "hit_at as mitigated_at"],
+        "block": ["i", "t", "kind", "top", "bottom", "hit_i as mitigated_i", "hit_at as mitigated_at"], "pool": ["kind", "price", "touches", "i as last_i", "hit_i as swept_i"],
+    }
+    return events.filter(F.col("tag") == tag).selectExpr(*SERIES, *columns[tag])
 
 
 def as_of_pivots(df: DataFrame, piv: DataFrame) -> DataFrame:
@@ -223,13 +330,13 @@ def sweeps(levels: DataFrame, bars: DataFrame) -> DataFrame:
     return levels.groupBy(*SERIES).cogroup(_apart(bars, "t", "h", "l", "c").groupBy(*SERIES)).applyInPandas(run, plus(levels.schema, "swept_i long"))
 
 
-def sr_levels(piv: DataFrame, tolerance: DataFrame, half_life: float = 500, top: int = 20) -> DataFrame:
+def sr_levels(piv: DataFrame, tolerance: DataFrame | None, half_life: float = 500, top: int = 20) -> DataFrame:
     """(symbol, tf, price, strength, touches, kind, last_t): pivots chained by gaps of at most the tolerance.
 
-    price is the median; strength sums halves by age. The ``top`` strongest of a series stay, ties by price.
+    ``tolerance``: (symbol, tf, tolerance), or None if ``piv`` has it. price is the median; strength sums halves by age. The ``top`` strongest of a series stay, ties by price.
     """
     w = Window.partitionBy(*SERIES).orderBy("price", "i")
-    p = piv.join(tolerance, SERIES).filter("tolerance > 0")
+    p = (piv if tolerance is None else piv.join(tolerance, SERIES)).filter("tolerance > 0")
     p = p.withColumn("_new", F.when(F.col("price") - F.lag("price").over(w) <= F.col("tolerance"), 0).otherwise(1)).withColumn("_newest", F.max("i").over(Window.partitionBy(*SERIES)))
     p = p.withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     age = (F.col("_newest") - F.col("i")) / half_life

@@ -152,16 +152,16 @@ def cisd(last: DataFrame, found: DataFrame, least: int = 109) -> DataFrame:
 def stacked(bars: DataFrame) -> DataFrame:
     """All signals of this module, one below the other, out of bars with atr14 and bb_width.
 
-    Bars, pivots, sweeps and breaks are read by several branches each: see ``settled``.
+    The structure comes from one pass over the series, which its branches read: see ``structure_events``.
     """
     bars = bars.select(*SERIES, "t", "o", "h", "l", "c", "v", "atr14", "bb_width")
-    last = bars.groupBy(*SERIES).agg(F.max_by(F.struct("t", "c", "atr14"), "t").alias("b"), (F.count("*") - 1).alias("i")).select(*SERIES, "b.*", "i")
-    piv = settled(S.pivots(bars))
+    last = settled(bars.groupBy(*SERIES).agg(F.max_by(F.struct("t", "c", "atr14"), "t").alias("b"), (F.count("*") - 1).alias("i")).select(*SERIES, "b.*", "i"))
+    events = settled(S.structure_events(bars))
+    piv, swept, gaps, breaks, blocks = (S.of_tag(events, k) for k in ("pivot", "pool", "gap", "break", "block"))
     tol = lambda k: last.select(*SERIES, (_range(last) * k).alias("tolerance"))
-    swept, gaps, breaks = settled(S.sweeps(S.liquidity_levels(piv, tol(0.25)), bars)), S.fvg_zones(bars), settled(S.structure_breaks(bars, piv))
     ends = last.select(*SERIES, F.col("i").alias("last_i"), "c", _range(last).alias("atr14"))
     parts = [
-        support_resistance(last, S.sr_levels(piv, tol(0.5))), order_blocks(last, S.zone_mitigation(S.order_blocks(bars, piv), bars)), liquidity(last, swept), premium_discount(S.premium_discount(bars, piv)),
+        support_resistance(last, S.sr_levels(piv, tol(0.5))), order_blocks(last, blocks), liquidity(last, swept), premium_discount(S.premium_discount(bars, piv)),
         trendline(last, S.trendlines(piv, tolerance=tol(0.5))), chart_patterns(X.chart_patterns(piv, ends)), cisd(last, displacements(bars, breaks, swept, gaps)),
     ]
     out = parts[0]
