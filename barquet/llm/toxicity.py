@@ -75,11 +75,14 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _vocabulary(terms: DataFrame, n: dict[int, int]) -> DataFrame:
-    """(term) of at most ``TERMS`` terms; n: examples by class."""
+    """(term) of at most ``TERMS`` terms; n: examples by class.
+
+    A term of all examples, and any term where the examples have one class only, tells nothing and is left out.
+    """
     n1, n0 = F.lit(float(n.get(1, 0))), F.lit(float(n.get(0, 0)))
     by = terms.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).filter(F.col("a") + F.col("b") >= SUPPORT)
     c, d = n1 - F.col("a"), n0 - F.col("b")
-    chi = (n1 + n0) * F.pow(F.col("a") * d - F.col("b") * c, F.lit(2)) / (n1 * n0 * (F.col("a") + F.col("b")) * (c + d))
+    chi = F.try_divide((n1 + n0) * F.pow(F.col("a") * d - F.col("b") * c, F.lit(2)), n1 * n0 * (F.col("a") + F.col("b")) * (c + d))
     ratio = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
     good = by.withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
     return good.orderBy(F.desc("chi"), "term").limit(TERMS).select("term")
@@ -165,7 +168,10 @@ class Neighbours:
 
 
 def train(docs: DataFrame, vectors_of: DataFrame, labels: DataFrame, per_class: int = EXAMPLES) -> tuple[Neighbours, DataFrame]:
-    """The index of the examples among ``labels``, and the vectors of all rows of ``vectors_of``."""
+    """The index of the examples among ``labels``, and the vectors of all rows of ``vectors_of``.
+
+    Labels of one class give every document the score of that class; without labels all scores are 0.
+    """
     chosen, classes = examples_of(docs, labels, per_class)
     terms = common.cut(chosen.mapInArrow(_example_terms, "doc_id long, toxic int, term string, tf long"))
     n = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}

@@ -161,3 +161,21 @@ def test_toxicity_of_repeated_texts_and_opposite_labels(spark):
     assert sum(classes.values()) == 60
     one, two = (sorted((r.doc_id, round(r.score, 12)) for r in toxicity.score(v, m).collect()) for m, v in (toxicity.train(docs, docs, lab), toxicity.train(docs.repartition(3), docs, lab.repartition(2))))
     assert one == two and len(one) == len(rows)
+
+
+def test_toxicity_with_labels_of_one_class(spark):
+    docs = spark.createDataFrame([(k, f"some words {k % 3} here and there") for k in range(12)], "doc_id long, text string")
+    for y in (0, 1):
+        labels = spark.createDataFrame([(k, y) for k in range(6)], "doc_id long, toxic int")
+        model, vectors = toxicity.train(docs, docs, labels)
+        got = {round(r.score, 6) for r in toxicity.score(vectors, model).collect()}
+        assert len(got) == 1 and (got.pop() >= toxicity.PREDICT) == bool(y)
+
+
+def test_toxicity_with_a_term_in_every_example(spark):
+    rows = [(k, f"common {'vile nasty' if k % 2 else 'kind gentle'} {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows + [(100, "vile nasty"), (101, "kind gentle"), (102, "nothing known")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model, vectors = toxicity.train(docs, docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(vectors, model).collect()}
+    assert got[100] >= toxicity.PREDICT > got[101] and got[102] < toxicity.PREDICT
