@@ -102,6 +102,11 @@ def last_n(bars: DataFrame, n: int) -> DataFrame:
     return bars.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def open_at(t: Column, tf: Column) -> Column:
+    """When the bar that a prediction made at bar t is about opens: one bar later."""
+    return t + step_ms(tf)
+
+
 def close_at(t: Column, tf: Column, grace_ms: int = 4000) -> Column:
     """When a prediction made at bar t can be graded: two bars later and a grace."""
     return t + 2 * step_ms(tf) + grace_ms

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ranks
 from .statistics import calibration_report, walk_forward
 
 
@@ -90,8 +91,39 @@ def anti_patterns(rows: DataFrame, k: int = 8, least: int = 20, bad: float = 0.4
     return out.withColumns({"hit_rate": rate, "is_bad": (F.col("n_mistakes") >= least) & (rate <= bad)})
 
 
-def nearest_pattern(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``rows`` with cluster, distance and in_radius of the nearest centroid. ``patterns`` are k rows, gathered into one array."""
+def pattern_profiles(rows: DataFrame, centers: list[list[float]], least: int = 20, bad: float = 0.45) -> DataFrame:
+    """(cluster, n_mistakes, n_correct, hit_rate, is_bad, radius, centroid, errors, direction, regime): what the mistakes nearest to each centre share.
+
+    ``rows``: id, vec array<double>, mistake, error_type, direction, regime. centroid is the mean of a cluster's mistakes, radius the
+    squared distance to it that nine tenths of them keep (exact, by rank), n_correct the correct rows within it. errors counts
+    the error types; direction is the side with more than twice the other's mistakes, else mixed; regime the commonest, ties by name,
+    a null one counting as unknown. Ties of distance go to the lower cluster; clusters without a mistake have no row. Counts
+    are summed before they are shuffled, so a cluster may hold any share of the rows.
+    """
+    each = F.array(*[F.struct(_distance(F.col("vec"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(k).alias("cluster")) for k, c in enumerate(centers)])  # as many as there are clusters
+    wrong = rows.filter(F.col("mistake") & F.col("vec").isNotNull()).withColumn("cluster", F.array_min(each)["cluster"])
+    n = F.count("*").alias("n")
+    by_error = wrong.groupBy("cluster", F.coalesce("error_type", F.lit("unknown")).alias("_e")).agg(n).groupBy("cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_e", "n")))).alias("errors"))
+    by_regime = wrong.groupBy("cluster", F.coalesce("regime", F.lit("unknown")).alias("_r")).agg(n).groupBy("cluster").agg(F.min(F.struct(-F.col("n"), "_r"))["_r"].alias("regime"))
+    sums = [F.avg(F.col("vec")[j]).alias(f"_{j}") for j in range(len(centers[0]))]
+    sides = wrong.groupBy("cluster").agg(F.count("*").alias("n_mistakes"), F.count_if(F.col("direction") == "long").alias("_long"), F.count_if(F.col("direction") == "short").alias("_short"), *sums)
+    centroid = F.array(*[F.col(f"_{j}") for j in range(len(centers[0]))])
+    found = sides.select("cluster", "n_mistakes", centroid.alias("centroid"), F.when(F.col("_long") > 2 * F.col("_short"), "long").when(F.col("_short") > 2 * F.col("_long"), "short").otherwise("mixed").alias("direction"))
+    known = F.broadcast(found.select("cluster", "centroid"))  # a row a cluster
+    away = wrong.join(known, "cluster").select("cluster", _distance("vec", "centroid").alias("radius"))
+    rank = F.floor(0.9 * (F.col("n_mistakes") - 1) + 1e-9)
+    radius = ranks.order_statistics(away, ["cluster"], "radius", found.select("cluster", rank.alias("rank"))).drop("rank")
+    found = found.join(radius, "cluster").join(by_error, "cluster").join(by_regime, "cluster")
+    every = F.broadcast(found.agg(F.collect_list(F.struct("cluster", "centroid", "radius")).alias("_all")))  # one row
+    inside = rows.filter(~F.col("mistake") & F.col("vec").isNotNull()).crossJoin(every).select(F.explode(F.filter("_all", lambda p: _distance(F.col("vec"), p["centroid"]) <= p["radius"])).alias("p"))
+    out = found.join(inside.groupBy(F.col("p.cluster").alias("cluster")).agg(F.count("*").alias("n_correct")), "cluster", "left").fillna(0, ["n_correct"])
+    rate = F.col("n_correct") / (F.col("n_correct") + F.col("n_mistakes"))
+    return out.withColumns({"hit_rate": rate, "is_bad": (F.col("n_mistakes") >= least) & (rate < bad)})
+
+
+def nearest_pattern(rows: DataFrame, patterns: DataFrame, regime: str | None = None) -> DataFrame:
+    """``rows`` with cluster, distance and in_radius of the nearest centroid, of those of ``regime`` if one is named. ``patterns`` are k rows, gathered into one array."""
+    patterns = patterns if regime is None else patterns.filter(F.col("regime") == regime)
     all_ = patterns.agg(F.collect_list(F.struct("cluster", "centroid", "radius")).alias("_all"))
     out = rows.crossJoin(F.broadcast(all_))
     best = F.array_min(F.transform("_all", lambda p: F.struct(_distance(F.col("vec"), p["centroid"]).alias("d"), p["cluster"].alias("cluster"), p["radius"].alias("radius"))))

@@ -221,6 +221,19 @@ def backtest(scored: DataFrame, horizon: int = 5, sample: int = 1, warmup: int =
     return df.withColumn("equity", F.exp(F.sum(growth).over(w.rowsBetween(Window.unboundedPreceding, 0)))).select(*SERIES, "i", "t", "side", "pnl", "equity")
 
 
+def metrics_by_regime(trades: DataFrame) -> DataFrame:
+    """(symbol, tf, regime, n, hit_rate, avg_win, avg_loss, mean_pnl, profit_factor, best, worst) of ``trades`` with regime.
+
+    Rows without a regime value (regime_total true) are over all trades of a series, and those without a series over
+    everything. One pass expands each trade to its groups before counts are summed.
+    """
+    win, loss = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") < 0, F.col("pnl"))
+    return trades.rollup("symbol", "tf", "regime").agg(
+        F.count("*").alias("n"), F.avg((F.col("pnl") > 0).cast("double")).alias("hit_rate"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), F.avg("pnl").alias("mean_pnl"),
+        F.when(F.sum(loss) < 0, F.coalesce(F.sum(win), F.lit(0.0)) / -F.sum(loss)).alias("profit_factor"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"), (F.grouping("regime") == 1).alias("regime_total"),
+    ).filter("tf is not null or symbol is null")
+
+
 def backtest_metrics(trades: DataFrame) -> DataFrame:
     """By series: n, hit_rate, total_return, sharpe, sortino, max_drawdown, profit_factor, best, worst."""
     w = in_order()

@@ -138,6 +138,18 @@ def apply_zscore(df: DataFrame, stats: DataFrame, columns: list[str], most: floa
     return out.withColumns(z).drop(*stats.columns)
 
 
+def fit_minmax(train: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: low_<c> and span_<c> (1 where it is under 1e-12 or missing)."""
+    span = lambda c: F.max(c) - F.min(c)
+    return train.agg(*[F.min(c).alias(f"low_{c}") for c in columns], *[F.when(span(c) >= 1e-12, span(c)).otherwise(1.0).alias(f"span_{c}") for c in columns])
+
+
+def apply_minmax(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """Values as shares of the span of ``stats`` (one row), not cut: later ones may lie outside [0, 1]."""
+    out = df.crossJoin(F.broadcast(stats))
+    return out.withColumns({c: (F.col(c) - F.col(f"low_{c}")) / F.col(f"span_{c}") for c in columns}).drop(*stats.columns)
+
+
 def triple_barrier(bars: DataFrame, sigma: str = "sigma", horizon: int = 20, up: float = 2.0, down: float = 2.0, least: float = 0.0) -> DataFrame:
     """(symbol, tf, t, i, t1, side, touched, upper, lower, ret): which barrier the next ``horizon`` bars touch first.
 
@@ -164,6 +176,13 @@ def label_distribution(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count_if(side == 1).alias("up"), F.count_if(side == -1).alias("down"), F.count_if(side == 0).alias("flat"))
 
 
+def label_shares(counts: DataFrame) -> DataFrame:
+    """``label_distribution`` with the share of each side, and imbalance: the commonest side's share less the rarest's."""
+    sides = ["up", "down", "flat"]
+    shares = {f"{x}_share": F.col(x) / F.col("n") for x in sides}
+    return counts.withColumns(shares).withColumn("imbalance", F.greatest(*shares) - F.least(*shares))
+
+
 def walk_forward(df: DataFrame, train: float = 0.7, valid: float = 0.15, embargo: int = 0) -> DataFrame:
     """Add split: train, valid, test by position in the series; the last ``embargo`` rows of train and valid are null."""
     n = F.count("*").over(Window.partitionBy(*SERIES))

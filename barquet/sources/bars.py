@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import SERIES
+from ..operators.cleaning import upsert
 
 BAR_SCHEMA = "symbol string, tf string, t long, o double, h double, l double, c double, v double, closed boolean"
 
@@ -37,10 +40,43 @@ def event_bars(spark: SparkSession, sf_dir: str, tf: str = "1h", step: int = 3_6
     return bars_of(ev.select(F.col("event_type").alias("symbol"), F.lit(tf).alias("tf"), (ms - F.pmod(ms, F.lit(step))).alias("t"), F.col("value").cast("double").alias("price"), F.lit(1.0).alias("size"), F.struct(ms.alias("ms"), "event_id").alias("at")))
 
 
-def write_bars(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One folder for each (symbol, tf, day), so that a read of a range opens only its days."""
-    day = F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd")
-    df.withColumn("day", day).repartition(*SERIES).write.mode(mode).partitionBy(*SERIES, "day").parquet(path)
+#: Rows of a file at most, and shards up to which their list goes to all tasks.
+FILE_ROWS, SHARDS = 1_000_000, 100_000
+SHARD = [*SERIES, "day"]
+
+
+def _by_day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd"))
+
+
+def write_bars(df: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
+    """One folder for each (symbol, tf, day), so that a read of a range opens only its days.
+
+    Rows are dealt by series and day, so a task holds some days of some series and no series whole; a file has at most
+    ``file_rows`` rows.
+    """
+    _by_day(df).repartition(*SHARD).sortWithinPartitions(*SHARD, "t").write.mode(mode).option("maxRecordsPerFile", file_rows).partitionBy(*SHARD).parquet(path)
+
+
+def upsert_bars(new: DataFrame, path: str, order: str | None = None, file_rows: int = FILE_ROWS) -> None:
+    """Put ``new`` bars into the stored ones: of two with one (symbol, tf, t) the later by ``order`` stays, the new one without an order.
+
+    Only days that ``new`` has rows of are read and written again (dynamic partition overwrite). What they will hold is first written
+    to a folder beside the shards that readers pass over, so that an executor lost half way takes no stored bar along.
+    """
+    spark = new.sparkSession
+    new = _by_day(new)
+    touched = new.select(*SHARD).distinct()
+    few = touched.limit(SHARDS + 1).count() <= SHARDS
+    stored = spark.read.option("mergeSchema", "true").schema(new.schema).parquet(path)
+    old = stored.join(F.broadcast(touched) if few else touched, SHARD, "left_semi").select(new.columns)
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    upsert(old, new, [*SERIES, "t"], order).select(new.columns).write.parquet(staged)
+    rows = spark.read.schema(new.schema).parquet(staged)
+    out = rows.repartition(*SHARD).sortWithinPartitions(*SHARD, "t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows)
+    out.partitionBy(*SHARD).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_bars(spark: SparkSession, path: str, symbol: str | None = None, tf: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
