@@ -220,10 +220,11 @@ def bull_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"bull_pct30": full(30, F.avg(rising).over(last_rows(30))), "volume_slope": F.when(before > 0, clamp(F.col("_mean_v") / before - 1, -1, 1)), "range_pct": F.when(F.col("c") != 0, (F.col("h") - F.col("l")) / F.col("c"))}).drop("_mean_v")
 
 
-def classify_regime(df: DataFrame) -> DataFrame:
+def classify_regime(df: DataFrame, structure: str | None = None) -> DataFrame:
     """Strength, volatility, alignment, trend and momentum of every bar, and their label.
 
-    Needs the recursive columns and bands. A missing input leaves its part at the neutral value.
+    Needs the recursive columns and bands. A missing input leaves its part at the neutral value. ``structure``: a column with the
+    trend of the pivots; if it says up or down, it goes before the alignment where directional strength is weak.
     """
     # fixed values: thresholds
     strength = F.when(F.col("adx14") >= 40, "strong").when(F.col("adx14") >= 25, "moderate").otherwise("weak")
@@ -234,7 +235,32 @@ def classify_regime(df: DataFrame) -> DataFrame:
     alignment = F.when(known & rising, "bullish-stack").when(known & falling, "bearish-stack").when(known, "mixed").otherwise("flat")
     df = df.withColumns({"strength": strength, "volatility": volatility, "alignment": alignment})
     by_di = (F.col("strength") != "weak") & F.col("plus_di").isNotNull() & F.col("minus_di").isNotNull()
-    trend = F.when(by_di, F.when(F.col("plus_di") > F.col("minus_di"), "up").otherwise("down")).when(F.col("alignment") == "bullish-stack", "up").when(F.col("alignment") == "bearish-stack", "down").otherwise("range")
+    pivots = F.col(structure) if structure else F.lit(None).cast("string")
+    trend = F.when(by_di, F.when(F.col("plus_di") > F.col("minus_di"), "up").otherwise("down")).when(pivots.isin("up", "down"), pivots).when(F.col("alignment") == "bullish-stack", "up").when(F.col("alignment") == "bearish-stack", "down").otherwise("range")
     speed = clamp(F.coalesce(F.when(F.col("c") > 0, clamp(F.col("macd_hist") / F.col("c") * 1000, -1, 1)), F.lit(0.0)) + F.coalesce((F.col("rsi14") - 50) / 100, F.lit(0.0)), -1, 1)
     df = df.withColumns({"trend": trend, "momentum_score": speed, "momentum": F.when(speed > 0.15, "up").when(speed < -0.15, "down").otherwise("flat")})
     return df.withColumn("regime", F.concat(F.when(F.col("trend") == "range", "range").otherwise(F.concat(F.lit("trending-"), "trend")), F.lit("-"), "strength", F.lit("-"), "volatility", F.lit("-vol")))
+
+
+def regime_scores(df: DataFrame, structure: str | None = None, lookback: int = 10) -> DataFrame:
+    """``classify_regime``'s rows with trend_score in [-1, 1], vol_score in [0, 1] and, with break_side and break_age, breakout (up, down, none).
+
+    trend_score is the share of directional movement, or 0.4 by the pivots' trend, or 0.3 by the alignment, as the trend was decided;
+    breakout is the side of the last structure break, if it is at most ``lookback`` bars old.
+    """
+    p, m = F.col("plus_di"), F.col("minus_di")
+    sign = lambda up: F.when(up, 1.0).otherwise(-1.0)
+    by_di = (F.col("strength") != "weak") & p.isNotNull() & m.isNotNull()
+    pivots = F.col(structure) if structure else F.lit(None).cast("string")
+    trend = (
+        F.when(by_di, sign(p > m) * F.abs(p - m) / F.greatest(F.lit(1.0), p + m)).when(pivots.isin("up", "down"), 0.4 * sign(pivots == "up"))
+        .when(F.col("alignment") == "bullish-stack", 0.3).when(F.col("alignment") == "bearish-stack", -0.3).otherwise(0.0)
+    )
+    # fixed values: bounds of low and high volatility
+    atr = F.when(F.col("c") > 0, F.col("atr14") / F.col("c"))
+    vol = F.when(atr.isNotNull(), (atr - 0.003) / (0.02 - 0.003)).when(F.col("bb_width").isNotNull(), (F.col("bb_width") - 0.02) / (0.08 - 0.02)).otherwise(0.0)
+    out = df.withColumns({"trend_score": trend, "vol_score": clamp(vol, 0, 1)})
+    if "break_age" not in df.columns:
+        return out
+    near = F.coalesce(F.col("break_age") <= lookback, F.lit(False))
+    return out.withColumn("breakout", F.when(near & (F.col("break_side") > 0), "up").when(near & (F.col("break_side") < 0), "down").otherwise("none"))

@@ -98,6 +98,35 @@ def conformal_quantiles(scores: DataFrame, keys: list[str], score: str = "score"
     return sizes.join(found, [*keys, "rank"], "left").select(*keys, "n", F.coalesce(score, F.lit(float("inf"))).alias("q"))
 
 
+def fit_conformal(calibration: DataFrame, keys: list[str], normalized: bool = False, alpha: float = 0.1) -> DataFrame:
+    """(keys, n, q) of ``calibration`` (yhat, y, and sigma if normalized): the conformal quantile of |y - yhat|, or of that over sigma.
+
+    Rows whose score is null, nan or infinite don't count.
+    """
+    score = F.abs(F.col("y") - F.col("yhat"))
+    score = score / _scale() if normalized else score
+    known = calibration.withColumn("_score", score).filter(~F.isnan("_score") & (F.col("_score") < float("inf")))
+    return conformal_quantiles(known, keys, "_score", alpha)
+
+
+def _scale() -> Column:
+    return F.greatest(F.abs(F.coalesce("sigma", F.lit(0.0))), F.lit(1e-8))
+
+
+def conformal_interval(df: DataFrame, fitted: DataFrame, keys: list[str], normalized: bool = False) -> DataFrame:
+    """``df`` (yhat, and sigma if normalized) with q, lo, hi and width of its key's ``fitted`` quantile; without one nothing is known: infinite."""
+    out = (df.join(fitted.select(*keys, "q"), keys, "left") if keys else df.crossJoin(F.broadcast(fitted.select("q")))).withColumn("q", F.coalesce("q", F.lit(float("inf"))))
+    half = F.col("q") * _scale() if normalized else F.col("q")
+    return out.withColumns({"lo": F.col("yhat") - half, "hi": F.col("yhat") + half, "width": 2 * half})
+
+
+def fit_prediction_set(calibration: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
+    """(keys, n, q) of ``calibration`` (p of up, y 0 or 1): the conformal quantile of one less the probability of what came. See ``features.prediction_sets``."""
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))))
+    known = calibration.filter(F.col("y").isin(0, 1) & F.col("p").isNotNull() & ~F.isnan("p"))
+    return conformal_quantiles(known.withColumn("_score", 1 - p), keys, "_score", alpha)
+
+
 def coverage(df: DataFrame, keys: list[str], y: str = "y", lo: str = "lo", hi: str = "hi") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.when(F.col(y).between(F.col(lo), F.col(hi)), 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.col(hi) - F.col(lo)).alias("mean_width"))
 

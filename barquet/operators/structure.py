@@ -378,6 +378,20 @@ def premium_discount(bars: DataFrame, piv: DataFrame) -> DataFrame:
     return out.withColumn("pct", pct).withColumn("zone", F.when((F.col("pct") < 0) | (F.col("pct") > 1), "outside").when(F.col("pct") < 0.45, "discount").when(F.col("pct") <= 0.55, "equilibrium").otherwise("premium"))
 
 
+def liquidation_zones(pools: DataFrame, last: DataFrame, each: int = 6) -> DataFrame:
+    """(symbol, tf, side, price, score, atr): where stops may lie, out of equal highs and lows and of true ranges around the last close.
+
+    ``pools``: see ``liquidity_levels``, the ``each`` of a kind with the most touches count, ties by price; ``last``: (symbol, tf, c, atr14). atr is
+    the number of true ranges of a zone that is made of them.
+    """
+    w = Window.partitionBy(*SERIES, "kind").orderBy(F.desc("touches"), "price")
+    made = pools.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= each)
+    made = made.select(*SERIES, F.when(F.col("kind") == "high", "long").otherwise("short").alias("side"), "price", (F.col("touches") * 0.3).alias("score"), F.lit(None).cast("int").alias("atr"))
+    zone = lambda side, sign, k: F.struct(F.lit(side).alias("side"), (F.col("c") + sign * k * F.col("atr14")).alias("price"), F.lit(1 / k).alias("score"), F.lit(k).alias("atr"))
+    around = F.array(*[zone(side, sign, k) for k in (1, 2, 3) for side, sign in (("long", -1), ("short", 1))])
+    return made.unionByName(last.filter("atr14 is not null and c is not null").select(*SERIES, F.explode(around).alias("z")).select(*SERIES, "z.*"))
+
+
 def session_of(t: Column, offset_ms: int = 0) -> Column:
     """The trading session of a UTC time; the first of the list that holds the hour."""
     hour = F.pmod(F.floor((t + offset_ms) / 3_600_000), F.lit(24))

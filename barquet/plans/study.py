@@ -184,6 +184,35 @@ def coverage(spark, sf_dir):
     return rounded(T.coverage(test, ["symbol"]), ["coverage", "mean_width"])
 
 
+_SIGMA = "case when abs(r) > 1e-8 then abs(r) else 1e-8 end"
+
+
+@query("conformal_intervals", f"""
+with {BARS}, {_RET}, {_PRED}, h as (select *, row_number() over (partition by symbol order by t) - 1 k, count(*) over (partition by symbol) m from pred),
+x as (select symbol, abs(nx) / {_SIGMA} s, row_number() over (partition by symbol order by abs(nx) / {_SIGMA}) j, count(*) over (partition by symbol) n from h where k < floor(m * 0.5)),
+q as (select symbol, max(s) filter (j = ceil((n + 1) * 0.9 - 1e-9)) q from x group by 1)
+select symbol, tf, t, round(-q * {_SIGMA}, 6) lo, round(q * {_SIGMA}, 6) hi, round(2 * q * {_SIGMA}, 6) width from h join q using (symbol) where k >= floor(m * 0.5)
+""")
+def conformal_intervals(spark, sf_dir):
+    """Intervals around no move, in multiples of the last move, for the second half of each series; fitted on the first."""
+    pred = T.walk_forward(_predicted(spark, sf_dir), 0.5, 0.0).select(*KEY, F.lit(0.0).alias("yhat"), F.col("nx").alias("y"), F.col("r").alias("sigma"), "split")
+    fitted = T.fit_conformal(pred.filter("split = 'train'"), ["symbol"], True)
+    return rounded(T.conformal_interval(pred.filter("split = 'test'"), fitted, ["symbol"], True).select(*KEY, "lo", "hi", "width"), ["lo", "hi", "width"])
+
+
+@query("prediction_sets", f"""
+with {BARS}, {_RET}, {_PRED}, h as (select *, row_number() over (partition by symbol order by t) - 1 k, count(*) over (partition by symbol) m from pred),
+x as (select symbol, 1 - case when y = 1 then p else 1 - p end s, row_number() over (partition by symbol order by 1 - case when y = 1 then p else 1 - p end) j, count(*) over (partition by symbol) n from h where k < floor(m * 0.5)),
+q as (select symbol, coalesce(max(s) filter (j = ceil((n + 1) * 0.5 - 1e-9)), 'infinity'::double) q from x group by 1)
+select symbol, tf, t, case when p <= q and 1 - p <= q then 'uncertain' when 1 - p <= q then 'long' when p <= q then 'short' else 'abstain' end direction from h join q using (symbol) where k >= floor(m * 0.5)
+""")
+def prediction_sets(spark, sf_dir):
+    """Sets of sides at even odds for the second half of each series; fitted on the first."""
+    pred = T.walk_forward(_predicted(spark, sf_dir), 0.5, 0.0)
+    fitted = T.fit_prediction_set(pred.filter("split = 'train'"), ["symbol"], 0.5)
+    return X.prediction_sets(pred.filter("split = 'test'"), fitted, ["symbol"]).select(*KEY, "direction")
+
+
 def _labelled(spark, sf_dir) -> DataFrame:
     bars = I.return_std(lineitem_bars(spark, sf_dir)).withColumnRenamed("ret_std20", "sigma")
     return T.triple_barrier(bars, horizon=10)
