@@ -38,7 +38,8 @@ def step_ms(tf: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """``x`` within bounds, null where it is null (which least and greatest alone pass over)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

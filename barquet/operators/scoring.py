@@ -161,7 +161,7 @@ def module_signals(df: DataFrame, only: list[str] | None = None, exclude: list[s
     columns = {}
     for name in names:
         signal, conf = MODULES[name][1]()
-        columns[f"s_{name}"], columns[f"c_{name}"] = clamp(signal, -1, 1), clamp(conf, 0, 1)
+        columns[f"s_{name}"], columns[f"c_{name}"] = F.coalesce(clamp(signal, -1, 1), F.lit(0.0)), F.coalesce(clamp(conf, 0, 1), F.lit(0.0))  # what isn't known says nothing
     return df.withColumns(columns)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ranks
-from ..functions.series import SERIES, in_order, index
+from ..functions.series import SERIES, clamp, in_order, index
 from .indicators import log_return
 
 
@@ -163,7 +163,7 @@ def fit_zscore(train: DataFrame, columns: list[str]) -> DataFrame:
 def apply_zscore(df: DataFrame, stats: DataFrame, columns: list[str], most: float = 5.0) -> DataFrame:
     """Z-scores under ``stats`` (one row), cut at ``most``."""
     out = df.crossJoin(F.broadcast(stats))
-    z = {c: F.greatest(F.lit(-most), F.least(F.lit(most), (F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}"))) for c in columns}
+    z = {c: clamp((F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}"), -most, most) for c in columns}
     return out.withColumns(z).drop(*stats.columns)
 
 

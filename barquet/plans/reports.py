@@ -47,7 +47,7 @@ def events_near(spark, sf_dir):
 with p as ({MARKET_SQL['candle_patterns']}), r as (select *, row_number() over (partition by symbol, tf order by t desc) r from p),
 x as (select symbol, tf, exp(-0.18 * (r - 1)) w, unnest(string_split(patterns, ',')) p from r where r <= 3),
 y as (select *, case when p in ('hammer', 'bullEngulf', 'bullHarami', 'morningStar', 'invHammer') then 1.0 when p in ('bearEngulf', 'bearHarami', 'eveningStar') then -1.0 end s from x)
-select symbol, tf, round(coalesce(greatest(-1, least(1, sum(s * w) / sum(case when s is not null then w end))), 0), 6) bias from y group by 1, 2
+select symbol, tf, round(case when count(s) = 0 then 0 else greatest(-1, least(1, sum(s * w) / sum(case when s is not null then w end))) end, 6) bias from y group by 1, 2
 """)
 def pattern_bias(spark, sf_dir):
     return rounded(R.pattern_bias(S.candle_patterns(lineitem_bars(spark, sf_dir))), ["bias"])

@@ -174,7 +174,12 @@ def conformal(spark, sf_dir):
     return rounded(T.conformal_quantiles(scores, ["symbol"]), ["q"])
 
 
-@query("coverage")
+@query("coverage", f"""
+with {BARS}, {_RET}, {_PRED}, h as (select *, row_number() over (partition by symbol order by t) - 1 k, count(*) over (partition by symbol) m from pred),
+x as (select symbol, abs(nx - r) s, row_number() over (partition by symbol order by abs(nx - r)) j, count(*) over (partition by symbol) n from h where k < floor(m * 0.5)),
+q as (select symbol, coalesce(max(s) filter (j = ceil((n + 1) * 0.9 - 1e-9)), 'infinity'::double) q from x group by 1)
+select symbol, count(*) n, round(avg((nx between r - q and r + q)::int), 6) coverage, round(avg(2 * q), 6) mean_width from h join q using (symbol) where k >= floor(m * 0.5) group by 1
+""")
 def coverage(spark, sf_dir):
     """Intervals of the first half's scores over the second half."""
     pred = _predicted(spark, sf_dir).withColumn("score", F.abs(F.col("nx") - F.col("r")))
@@ -297,7 +302,7 @@ def mistakes(spark, sf_dir):
     return P.mistake_summary(P.classify_error(_verdicts(spark, sf_dir)))
 
 
-@query("rolling_accuracy")
+@query("rolling_accuracy", f"with {BARS}, {_VERDICTS} select symbol, tf, t, round(avg((dir <> 'flat' and dir = rd)::int) over ({W} rows between 199 preceding and current row), 6) acc from k")
 def rolling_accuracy(spark, sf_dir):
     return P.rolling_accuracy(_verdicts(spark, sf_dir).filter("ok and kind = 'direction'"), 200).select(*KEY, F.round("acc", 6).alias("acc"))
 

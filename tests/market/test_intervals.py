@@ -49,3 +49,18 @@ def test_regime_scores_follow_what_decided_the_trend(spark):
     got = indicators.regime_scores(indicators.classify_regime(df, "shape"), "shape").collect()
     assert [(r.trend, round(r.trend_score, 6), r.breakout) for r in got] == [("up", 0.5, "up"), ("down", -0.4, "down"), ("up", 0.3, "none"), ("range", 0.0, "none")]
     assert [round(r.vol_score, 6) for r in got] == [round((0.01 - 0.003) / 0.017, 6), 0.0, 0.5, 0.0]
+
+
+def test_what_is_not_known_stays_unknown(spark):
+    from pyspark.sql import functions as F
+
+    from barquet.functions.series import clamp
+    from barquet.operators import reports
+
+    df = spark.createDataFrame([(None,), (5.0,), (-5.0,), (0.5,)], "x double").select("x", clamp(F.col("x"), -1, 1).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == {None: None, 5.0: 1.0, -5.0: -1.0, 0.5: 0.5}
+    hits = spark.createDataFrame([("A", "1d", 1, ["doji"]), ("B", "1d", 1, ["hammer"])], "symbol string, tf string, t long, patterns array<string>")
+    assert {r.symbol: r.bias for r in reports.pattern_bias(hits).collect()} == {"A": 0.0, "B": 1.0}
+    bars = spark.createDataFrame([(100.0, None, None, None, None, None, None, None, None, None, None)], ", ".join(f"{c} double" for c in "c adx14 plus_di minus_di atr14 bb_width ema20 ema50 ema200 macd_hist rsi14".split()))
+    r = indicators.classify_regime(bars).first()
+    assert (r.momentum, r.momentum_score) == ("flat", 0.0)
