@@ -86,6 +86,15 @@ def retention_split(bars: DataFrame, now: int, hot_days: dict[str, int] = HOT_DA
     return bars.filter(hot), bars.filter(~hot)
 
 
+# fixed values: days that rows of other tables are kept
+KEPT_DAYS = {"features": 90, "predictions": 365, "validations": 365, "training": 365, "regimes": 365, "news": 30}
+
+
+def unexpired(rows: DataFrame, table: str, now: int, time: str = "t", kept_days: dict[str, int] = KEPT_DAYS) -> DataFrame:
+    """Rows of a table of this kind that aren't older than it keeps them; rows without a time stay."""
+    return rows.filter(F.col(time).isNull() | (F.col(time) >= now - kept_days[table] * DAY_MS))
+
+
 def matching(df: DataFrame, since: int | None = None, until: int | None = None, time: str = "t", **equal) -> DataFrame:
     """Rows with ``time`` in [since, until] and the given values; None asks for nothing."""
     for column, value in equal.items():

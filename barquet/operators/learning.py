@@ -131,9 +131,19 @@ def nearest_pattern(rows: DataFrame, patterns: DataFrame, regime: str | None = N
 
 
 def meta_veto(rows: DataFrame) -> DataFrame:
-    """Confidence after the nearest pattern (in_radius, hit_rate): vetoed at a hit rate up to 0.25, softened up to 0.40."""
-    veto, soft = F.col("in_radius") & (F.col("hit_rate") <= 0.25), F.col("in_radius") & (F.col("hit_rate") <= 0.40)
-    return rows.withColumns({"action": F.when(veto, "veto").when(soft, "soften").otherwise("pass"), "confidence": F.when(veto, 0.0).when(soft, F.col("confidence") * 0.4).otherwise(F.col("confidence"))})
+    """What is left of a decision after the nearest pattern (in_radius, hit_rate): vetoed at a hit rate up to 0.25, softened up to 0.40.
+
+    A veto takes confidence, and signal where there is one, to 0 and direction to neutral; softened are signal to 0.4 and
+    confidence to 0.5 of what they were, and a signal then under 0.05 is neutral. Without a pattern, or a hit rate, all stays.
+    """
+    near = F.coalesce("in_radius", F.lit(False))
+    veto, soft = near & F.coalesce(F.col("hit_rate") <= 0.25, F.lit(False)), near & F.coalesce(F.col("hit_rate") <= 0.40, F.lit(False))
+    out = {"action": F.when(veto, "veto").when(soft, "soften").otherwise("pass"), "confidence": F.when(veto, 0.0).when(soft, F.col("confidence") * 0.5).otherwise(F.col("confidence"))}
+    if "signal" in rows.columns:
+        out["signal"] = F.when(veto, 0.0).when(soft, F.col("signal") * 0.4).otherwise(F.col("signal"))
+        if "direction" in rows.columns:
+            out["direction"] = F.when(veto | (soft & (F.abs(F.col("signal") * 0.4) < 0.05)), "neutral").otherwise(F.col("direction"))
+    return rows.withColumns(out)
 
 
 def champion_challenger(holdout: DataFrame, champion: str, challenger: str, y: str = "y", margin: float = 0.01) -> DataFrame:
@@ -142,6 +152,20 @@ def champion_challenger(holdout: DataFrame, champion: str, challenger: str, y: s
     return holdout.agg(ok(champion).alias("champion"), ok(challenger).alias("challenger")).withColumn("promote", F.col("challenger") >= F.col("champion") + margin)
 
 
+def champion_drift(verdicts: DataFrame, baseline: float, window: int = 50, least: int = 20, drop: float = 0.1, alpha: float = 0.1) -> DataFrame:
+    """(n, ewma, drifted): one row, the moving hit rate of a champion's last ``window`` verdicts (t, hit) against its ``baseline``.
+
+    The average starts with the oldest verdict of the window, so each one's weight is known by its place and no state walks the
+    rows; under ``least`` verdicts nothing is said. Ties of t go by hit.
+    """
+    last = verdicts.filter("hit is not null").orderBy(F.desc("t"), "hit").limit(window).withColumn("_k", F.row_number().over(Window.orderBy(F.desc("t"), "hit")) - 1)  # at most a window's rows
+    n = last.withColumn("_n", F.count("*").over(Window.partitionBy()))
+    weight = F.pow(F.lit(1 - alpha), F.col("_k")) * F.when(F.col("_k") == F.col("_n") - 1, 1.0).otherwise(alpha)
+    out = n.agg(F.count("*").alias("n"), F.sum(weight * F.col("hit").cast("double")).alias("ewma"))
+    known = F.when(F.col("n") >= least, F.col("ewma"))
+    return out.select("n", known.alias("ewma"), F.coalesce(known < baseline - drop, F.lit(False)).alias("drifted"))
+
+
 def adaptive_weights(hits: DataFrame, alpha: float = 0.05, power: float = 1.5, floor: float = 0.05) -> DataFrame:
     """(module, rate, weight): exponentially weighted hit rate (prior 0.5) of each module's hits in order, to a power, floored, shared out.
 

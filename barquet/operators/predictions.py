@@ -64,6 +64,19 @@ def classify_error(verdicts: DataFrame, large: float = 2.0) -> DataFrame:
     return verdicts.filter("ok").withColumn("error_type", error).filter("error_type is not null")
 
 
+def to_mistakes(verdicts: DataFrame, contexts: DataFrame, modules: DataFrame | None = None, large: float = 2.0) -> DataFrame:
+    """``classify_error``'s rows with what was known when the prediction was made.
+
+    ``contexts``: (symbol, tf, t, and any of regime, phase, macro, atr14, vec), a row a bar; ``modules``: ``reports.top_modules``, which
+    become top_modules, an array of (rank, module, signal, confidence). Mistakes without a context keep nulls.
+    """
+    out = classify_error(verdicts, large).join(contexts, [*SERIES, "t"], "left")
+    if modules is None:
+        return out
+    top = modules.groupBy(*SERIES, "t").agg(F.array_sort(F.collect_list(F.struct("rank", "module", "signal", "confidence"))).alias("top_modules"))  # four a bar
+    return out.join(top, [*SERIES, "t"], "left")
+
+
 def mistake_summary(mistakes: DataFrame) -> DataFrame:
     """Counts by error type, by symbol, and in all; last_t is the newest of each."""
     return mistakes.groupingSets([[F.col("error_type")], [F.col("symbol")], []], "error_type", "symbol").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))

@@ -155,6 +155,12 @@ def prepared(bars: DataFrame) -> DataFrame:
     return df.withColumns({"shape_age": index() - F.col("_shape.i"), "shape_names": F.col("_shape.names")}).drop("_shape", "patterns")
 
 
+def clamp_signal(df: DataFrame, signal: str = "signal", confidence: str = "confidence") -> DataFrame:
+    """``df`` with both columns within their ranges (0 where unknown) and direction: long or short from a signal beyond 0.05."""
+    s, c = F.coalesce(clamp(F.nanvl(F.col(signal), F.lit(None)), -1, 1), F.lit(0.0)), F.coalesce(clamp(F.nanvl(F.col(confidence), F.lit(None)), 0, 1), F.lit(0.0))
+    return df.withColumns({signal: s, confidence: c}).withColumn("direction", F.when(F.col(signal) > 0.05, "long").when(F.col(signal) < -0.05, "short").otherwise("neutral"))
+
+
 def module_signals(df: DataFrame, only: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Add s_<module> and c_<module> for each module, cut to their ranges."""
     names = [m for m in MODULES if (only is None or m in only) and m not in (exclude or ())]

@@ -365,6 +365,22 @@ def trendlines(piv: DataFrame, lookback: int = 8, tolerance: DataFrame | None =
     return line.withColumn("score", F.col("r2") * F.least(F.lit(1.0), F.col("touches") / 4)).drop("_p", "tolerance")
 
 
+def trend_channel(lines: DataFrame, last: DataFrame, least: float = 0.5) -> DataFrame:
+    """(symbol, tf, upper, lower, place, breakout, strength): both lines of ``trendlines`` at the last bar (symbol, tf, i, c, atr14).
+
+    place is -1 on the lower and 1 on the upper line, cut at 2, null without both lines or a width. breakout: up or down where the
+    close is beyond a line by ``least`` true ranges or more, the further one if beyond both; strength in [0, 1], by that distance.
+    """
+    y = F.col("slope") * F.col("i") + F.col("intercept")
+    at = lambda k: F.max(F.when(F.col("kind") == k, y))
+    out = last.join(lines.select(*SERIES, "kind", "slope", "intercept"), SERIES).groupBy(*SERIES, "c", "atr14").agg(at("high").alias("upper"), at("low").alias("lower"))
+    place = F.when(F.col("upper") > F.col("lower"), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), 2 * (F.col("c") - F.col("lower")) / (F.col("upper") - F.col("lower")) - 1)))
+    over, under, want = F.col("c") - F.col("upper"), F.col("lower") - F.col("c"), least * F.col("atr14")
+    far = F.greatest(F.when(over >= want, over), F.when(under >= want, under))
+    side = F.when(far.isNull() | (F.col("atr14") <= 0), None).when(over >= F.coalesce(under, over), "up").when(under.isNotNull() & (over.isNull() | (under > over)), "down")
+    return out.select(*SERIES, "upper", "lower", place.alias("place"), side.alias("breakout"), F.when(side.isNotNull(), F.least(F.lit(1.0), far / F.greatest(want, F.lit(1e-9)))).alias("strength"))
+
+
 def premium_discount(bars: DataFrame, piv: DataFrame) -> DataFrame:
     """(symbol, tf, range_high, range_low, pct, zone): where the last close lies between the last high and low pivot.
 

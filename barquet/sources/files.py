@@ -62,20 +62,27 @@ def read_deriv_history(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return out.filter(F.col("t").isNotNull() & F.col("value").isNotNull())
 
 
-def deriv_snapshot(oi: DataFrame, funding: DataFrame, ratio: DataFrame, lag: int = 24) -> DataFrame:
-    """(symbol, oi, oi_change, funding, crowding): newest values, the change over ``lag`` periods, tanh of the ratio's excess over 1."""
+def deriv_snapshot(oi: DataFrame, funding: DataFrame, ratio: DataFrame, lag: int = 24, marks: DataFrame | None = None) -> DataFrame:
+    """(symbol, oi, oi_change, funding, crowding): newest values, the change over ``lag`` periods, tanh of the ratio's excess over 1.
+
+    With ``marks`` (symbol, t, mark, index) also basis, the mark's share above the index.
+    """
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("symbol").orderBy("t")
     change = oi.withColumn("_p", F.lag("value", lag - 1).over(w)).withColumn("_c", F.when(F.col("_p") > 0, F.col("value") / F.col("_p") - 1))
     newest = lambda df, x, name: df.groupBy("symbol").agg(F.max_by(x, "t").alias(name))
     out = newest(change, "value", "oi").join(newest(change, "_c", "oi_change"), "symbol", "full").join(newest(funding, "value", "funding"), "symbol", "full").join(newest(ratio, "value", "_r"), "symbol", "full")
+    if marks is not None:
+        basis = F.when(F.col("index") > 0, F.col("mark") / F.col("index") - 1)
+        out = out.join(newest(marks.withColumn("_basis", basis), "_basis", "basis"), "symbol", "full")
     return out.withColumn("crowding", F.tanh(F.col("_r") - 1)).drop("_r")
 
 
 def search_universe(universe: DataFrame, text: str, market: str | None = None, limit: int | None = None) -> DataFrame:
-    """Rows whose id or assets hold the text, without regard to case."""
-    out = universe.filter(F.contains(F.lower(F.concat_ws(" ", "id", "base", "quote")), F.lit(text.lower())))
+    """Rows whose id, assets, name, description, region or currency hold the text, without regard to case."""
+    words = [c for c in ("id", "base", "quote", "name", "desc", "description", "region", "currency") if c in universe.columns]
+    out = universe.filter(F.contains(F.lower(F.concat_ws(" ", *words)), F.lit(text.lower())))
     out = (out if market is None else out.filter(F.col("market") == market)).orderBy("id")
     return out if limit is None else out.limit(limit)
 
@@ -86,10 +93,16 @@ def merge_universe(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("id", *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in old.columns if c != "id"])
 
 
+def universe_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(added, updated, total): one row on ``merge_universe`` of both: ids that only ``new`` has, those that both have, and all."""
+    both = old.select("id", F.lit(True).alias("_old")).join(new.select("id", F.lit(True).alias("_new")), "id", "full")
+    return both.agg(F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(F.coalesce(F.col("_old") & F.col("_new"), F.lit(False))).alias("updated"), F.count("*").alias("total"))
+
+
 def with_asset(rows: DataFrame, universe: DataFrame, most: int = 100_000) -> DataFrame:
     """``rows`` with their symbol's universe columns; the universe is broadcast up to ``most`` rows."""
     u = universe.withColumnRenamed("id", "symbol")
     return rows.join(F.broadcast(u) if u.count() <= most else u, "symbol", "left")
 
 
-__all__ = ["SERIES", "deriv_snapshot", "merge_universe", "read_chart_json", "read_daily_csv", "read_deriv_history", "read_klines", "read_universe", "search_universe", "with_asset"]
+__all__ = ["SERIES", "deriv_snapshot", "merge_universe", "read_chart_json", "read_daily_csv", "read_deriv_history", "read_klines", "read_universe", "search_universe", "universe_changes", "with_asset"]
