@@ -347,7 +347,7 @@ def nearest_bars(spark, sf_dir):
 
 @query("volume_profile")
 def volume_profile(spark, sf_dir):
-    return rounded(V.volume_profile(lineitem_bars(spark, sf_dir)), ["poc", "vah", "val", "total"], 4)
+    return rounded(V.volume_profile(lineitem_bars(spark, sf_dir)), ["poc", "vah", "val", "total"])
 
 
 @query("module_scores")
