@@ -263,7 +263,7 @@ def find_runs(docs: DataFrame, text: str = "text", screen: bool = True) -> DataF
     A run is a maximal stretch of words of least period q with at least ``PERIODS`` periods and ``WORDS`` words.
     Words are what ASCII white space separates. A null, empty or blank text has no words, no run and an
     empty collapsed text. All other columns, null ids and repeated rows stay; former columns of these
-    three names are replaced. A text is one task's work; memory is some 500 bytes for each word of its
+    three names are replaced. A text is one task's work; memory is about a kilobyte for each word of its
     longest stretch with runs.
     """
 
