@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,11 @@ from .structure import session_of
 _LAST = ["c", "ema20", "ema50", "ema200", "rsi14", "atr14", "adx14", "plus_di", "minus_di", "macd_hist", "bb_width"]
 
 
-def _events_and_last(b: pd.DataFrame) -> pd.DataFrame:
+def _events_and_last(b: pa.Table) -> list[dict]:
     """The events of a series, and its last bar with the indicators (tag bar; top and bottom: the range of all bars)."""
-    b = I._recursive(b).reset_index(drop=True)
-    last = b.iloc[[-1]][["t", *_LAST]].assign(tag="bar", i=len(b) - 1, top=b["h"].max(), bottom=b["l"].min())
-    events = S._events(b)
-    return pd.concat([events, last], ignore_index=True) if len(events) else last
+    b = I._recursive(b)
+    last = {k: b[k].slice(len(b) - 1) for k in ("t", *_LAST)}
+    return [*S._events(b), {**last, "tag": ["bar"], "i": [len(b) - 1], "top": [pc.max(b["h"]).as_py()], "bottom": [pc.min(b["l"]).as_py()]}]
 
 
 def series_summary(bars: DataFrame) -> DataFrame:
