@@ -277,17 +277,20 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 def uniqueness_weights(labels: DataFrame) -> DataFrame:
     """(symbol, tf, i, weight) of spans [i, t1] (columns i and t1, bar positions): mean of 1 / spans at each bar of the span.
 
-    Sums up to each bar serve every span, so spans aren't unrolled.
+    Sums up to each bar serve every span, so spans aren't unrolled; one pass over a series makes them.
     """
-    live = labels.filter("t1 is not null and t1 >= i")
-    steps = live.select(*SERIES, F.col("i").alias("b"), F.lit(1).alias("d")).unionByName(live.select(*SERIES, (F.col("t1") + 1).alias("b"), F.lit(-1).alias("d"))).groupBy(*SERIES, "b").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*SERIES).orderBy("b")
-    runs = steps.withColumns({"_n": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("b").over(w)})
-    mass = F.when(F.col("_n") > 0, (F.col("_next") - F.col("b")) / F.col("_n")).otherwise(0.0)
-    sums = runs.withColumn("_before", F.coalesce(F.sum(mass).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select(*SERIES, "b", "_before")
-    start = live.join(sums.withColumnsRenamed({"b": "i", "_before": "_s"}), [*SERIES, "i"]).withColumn("_e", F.col("t1") + 1)
-    both = start.join(sums.withColumnsRenamed({"b": "_e", "_before": "_t"}), [*SERIES, "_e"])
-    return both.select(*SERIES, "i", ((F.col("_t") - F.col("_s")) / (F.col("_e") - F.col("i"))).alias("weight"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        first, end = rows["i"].to_numpy(), rows["t1"].to_numpy() + 1
+        steps, place = np.unique(np.concatenate([first, end]), return_inverse=True)
+        live = np.cumsum(np.bincount(place[: len(first)], minlength=len(steps)) - np.bincount(place[len(first) :], minlength=len(steps)))[:-1]
+        mass = np.where(live > 0, np.diff(steps) / np.maximum(live, 1), 0.0)
+        before = np.concatenate([[0.0], np.cumsum(mass)])
+        weight = (before[place[len(first) :]] - before[place[: len(first)]]) / (end - first)
+        return pa.table({**{k: rows[k] for k in (*SERIES, "i")}, "weight": weight})
+
+    live = labels.filter("t1 is not null and t1 >= i").select(*SERIES, F.col("i").cast("long").alias("i"), F.col("t1").cast("long").alias("t1"))
+    return live.groupBy(*SERIES).applyInArrow(run, "symbol string, tf string, i long, weight double")
 
 
 def fit_zscore(train: DataFrame, columns: list[str]) -> DataFrame:

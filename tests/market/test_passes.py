@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from barquet.operators import indicators as I
+from barquet.operators import statistics as T
 from barquet.operators import structure as S
 
 DAY = 86_400_000
@@ -36,6 +37,17 @@ def test_passes_over_series_build_no_pandas_frames(bars):
         assert "InPandas" not in _plan(df)
 
 
+def test_weights_take_one_pass_over_the_labels(spark):
+    labels = spark.createDataFrame([("a", "1d", i, min(19, i + i % 4)) for i in range(20)] + [("b", "1d", 3, 9), ("b", "1d", 50, 50), ("b", "1d", 60, None)], "symbol string, tf string, i long, t1 long")
+    df = T.uniqueness_weights(labels)
+    assert "Join" not in _plan(df)
+    rows = labels.filter("t1 is not null").collect()
+    live = lambda s, k: sum(r.symbol == s and r.i <= k <= r.t1 for r in rows)
+    want = {(r.symbol, r.i): np.mean([1 / live(r.symbol, k) for k in range(r.i, r.t1 + 1)]) for r in rows}
+    got = {(r.symbol, r.i): r.weight for r in df.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 @pytest.mark.parametrize("values", [[3.0] * 30, [float(k % 7) for k in range(40)], [1.0, 2.0, math.nan, 4.0, 5.0, 6.0]])
 def test_smoothing_is_that_of_pandas(values):
     x = np.array(values)
