@@ -45,7 +45,17 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    """``columns`` rounded as ``F.round`` does. Doubles far from a half are rounded by whole numbers, as decimals cost many times as much."""
+    double = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)}
+    return compiled(df).withColumns({c: _rounded(F.col(c), digits) if c in double else F.round(F.col(c), digits) for c in columns})
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    """Equal to ``F.round``: below 10^9 the product is off by less than a millionth, and a whole number by a power of ten is the nearest double."""
+    y = F.abs(x) * float(10**digits)
+    whole = F.floor(y + 0.5)
+    sure = (y < 1e9) & (F.abs(y - F.floor(y) - 0.5) > 1e-6)
+    return F.when(sure, F.when(x < 0, -whole).otherwise(whole) / F.lit(float(10**digits))).otherwise(F.round(x, digits))
 
 
 def plus(schema: T.StructType, more: str) -> T.StructType:

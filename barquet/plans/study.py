@@ -412,16 +412,17 @@ def anti_patterns(spark, sf_dir):
 
 
 def _full(spark, sf_dir) -> DataFrame:
-    return I.moving(I.stochastic(I.bull_features(I.volume(I.bands(I.recursive(lineitem_bars(spark, sf_dir)))))))
+    """Bars with all that features read; the windows come before the recursive pass, and what isn't read doesn't go through it."""
+    windows = I.moving(I.stochastic(I.volume(I.bands(S.indexed(lineitem_bars(spark, sf_dir))))))
+    return I.recursive(windows.select(*KEY, "i", *[c for c in X.READ if c in windows.columns])).select(*KEY, "i", *X.READ)
 
 
 @query("feature_matrix")
 def feature_matrix(spark, sf_dir):
-    bars = _full(spark, sf_dir)
-    piv = S.pivots(bars)
-    zones = S.zone_mitigation(S.fvg_zones(bars), bars)
-    blocks = S.zone_mitigation(S.order_blocks(bars, piv), bars)
-    return rounded(X.feature_matrix(bars, S.structure_breaks(bars, piv), zones, blocks, piv), X.NAMES, 5)
+    bars = settled(_full(spark, sf_dir))
+    events = settled(S.structure_events(bars))
+    piv, breaks, zones, blocks = (S.of_tag(events, k) for k in ("pivot", "break", "gap", "block"))
+    return rounded(X.feature_matrix(bars, breaks, zones, blocks, piv), X.NAMES, 5)
 
 
 @query("wyckoff")

@@ -6,11 +6,14 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from barquet.functions.series import rounded
 from barquet.operators import indicators as I
 from barquet.operators import scoring as M
 from barquet.operators import statistics as T
 from barquet.operators import structure as S
+from barquet.plans import study
 
 DAY = 86_400_000
 
@@ -62,3 +65,18 @@ def test_columns_of_modules_are_compiled(spark, bars):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     M.orchestrate(M.module_signals(M.prepared(bars)))
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_features_take_one_pass_and_no_join(spark, sf_dir):
+    plan = _plan(study.feature_matrix(spark, sf_dir))
+    assert "CoGroups" not in plan and "InArrow" not in plan and "Join" not in plan  # bars and events are settled before
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(3)
+    odd = [None, math.nan, math.inf, -math.inf, -0.0, -1e-9, 5e-7, -5e-7, 2.5e-7, 1e300, 999.9999995, -999.9999995, 0.1234565, 123456789012.3456785]
+    near = [k / 2e6 + s for k in range(-99, 99) for s in (0.0, 1e-13, -1e-13)] + [rng.uniform(-1, 1) * 10 ** rng.uniform(-9, 15) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in odd + near], "x double")
+    for digits in (4, 6):
+        got = rounded(df.withColumn("y", F.col("x")), ["y"], digits).select("x", F.col("y").cast("string").alias("y"), F.round("x", digits).cast("string").alias("z")).collect()
+        assert [r for r in got if r.y != r.z] == []
