@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import SERIES, clamp, plus, step_ms
+from ..functions.series import SERIES, clamp, plus, step_ms, with_columns
 
 
 def realized_direction(ret: Column, band: float = 0.0) -> Column:
@@ -88,25 +90,50 @@ def rolling_accuracy(verdicts: DataFrame, n: int = 200) -> DataFrame:
     return verdicts.withColumns({"acc": F.avg(F.col("hit").cast("double")).over(w), "res_mean": F.avg("residual").over(w), "res_std": F.stddev_samp("residual").over(w)})
 
 
+@lru_cache(2048)
+def _cuts(n: int, least: int, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a window of ``n`` values may be cut, what is left behind each cut, and the bound of each but for the values' spread."""
+    cut = np.arange(least, n - least + 1)
+    return cut, n - cut, np.sqrt(np.log(4 * n / delta) * (1 / cut + 1 / (n - cut)) / 2)
+
+
 class Adwin:
     """A window of recent values that drops its older part when the means of two parts differ too much."""
 
     def __init__(self, delta: float = 0.002, most: int = 2048, least: int = 16) -> None:
-        self.delta, self.most, self.least, self.values = delta, most, least, np.zeros(0)
+        self.delta, self.most, self.least = delta, most, least
+        self._hold(np.zeros(0))
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._values[: self._n]
+
+    def _hold(self, values: np.ndarray) -> None:
+        """Take these values as the window, with their running sums and bounds; both grow by themselves until values go."""
+        n = self._n = len(values)
+        self._values, self._sums = np.empty(2 * n + 64), np.empty(2 * n + 64)
+        self._values[:n], self._sums[:n] = values, np.cumsum(values)
+        self._low, self._high = (float(values.min()), float(values.max())) if n else (np.inf, -np.inf)
 
     def push(self, x: float) -> bool:
-        self.values = np.append(self.values, x)[-self.most :]
-        n = len(self.values)
+        n = self._n
+        if n >= self.most:
+            self._hold(np.append(self.values, x)[-self.most :])
+        else:
+            if n == len(self._values):
+                self._hold(self.values)
+            self._values[n], self._sums[n] = x, self._sums[n - 1] + x if n else x
+            self._low, self._high = x if x < self._low or x != x else self._low, x if x > self._high or x != x else self._high
+            self._n = n + 1
+        n = self._n
         if n < 2 * self.least:
             return False
-        sums = np.cumsum(self.values)
-        cut = np.arange(self.least, n - self.least + 1)
-        apart = np.abs(sums[cut - 1] / cut - (sums[-1] - sums[cut - 1]) / (n - cut))
-        bound = np.ptp(self.values) * np.sqrt(np.log(4 * n / self.delta) * (1 / cut + 1 / (n - cut)) / 2)
-        hits = np.flatnonzero(apart > bound)
-        if not len(hits):
+        cut, rest, bound = _cuts(n, self.least, self.delta)
+        before = self._sums[self.least - 1 : n - self.least]
+        hits = np.abs(before / cut - (self._sums[n - 1] - before) / rest) > (self._high - self._low) * bound
+        if not hits.any():
             return False
-        self.values = self.values[cut[hits[0]] :]
+        self._hold(self.values[cut[hits.argmax()] :].copy())
         return True
 
 
@@ -131,14 +158,15 @@ class PageHinkley:
 def drift(df: DataFrame, keys: list[str], value: str = "x", order: str = "t", delta: float = 0.002, ph_delta: float = 0.005, ph_threshold: float = 0.05) -> DataFrame:
     """Add adwin (a cut was made) and page_hinkley (up, down or null) after each value, by key in order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
         adwin, ph = Adwin(delta), PageHinkley(ph_delta, ph_threshold)
-        x = rows[value].tolist()
+        x = rows[value].to_pylist()
         known = [v is not None and v == v for v in x]
-        return rows.assign(adwin=[k and adwin.push(v) for k, v in zip(known, x, strict=True)], page_hinkley=[ph.push(v) if k else None for k, v in zip(known, x, strict=True)])
+        cuts = [k and adwin.push(v) for k, v in zip(known, x, strict=True)]
+        return with_columns(rows, {"adwin": pa.array(cuts, pa.bool_()), "page_hinkley": pa.array([ph.push(v) if k else None for k, v in zip(known, x, strict=True)], pa.string())})
 
-    return df.groupBy(*keys).applyInPandas(run, plus(df.schema, "adwin boolean, page_hinkley string"))
+    return df.groupBy(*keys).applyInArrow(run, plus(df.schema, "adwin boolean, page_hinkley string"))
 
 
 def stability(history: DataFrame, n: int = 30) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barquet.functions.series import rounded
 from barquet.operators import indicators as I
+from barquet.operators import predictions
 from barquet.operators import scoring as M
 from barquet.operators import statistics as T
 from barquet.operators import structure as S
@@ -80,3 +81,21 @@ def test_rounding_is_that_of_spark(spark):
     for digits in (4, 6):
         got = rounded(df.withColumn("y", F.col("x")), ["y"], digits).select("x", F.col("y").cast("string").alias("y"), F.round("x", digits).cast("string").alias("z")).collect()
         assert [r for r in got if r.y != r.z] == []
+
+
+def test_drift_is_one_arrow_pass_with_the_cuts_of_a_plain_window(bars):
+    assert "InPandas" not in _plan(predictions.drift(bars, ["symbol", "tf"], "c"))
+    rng = random.Random(9)
+    for most in (200, 2048):
+        own, held = predictions.Adwin(most=most), np.zeros(0)
+        for k in range(1500):
+            x = rng.gauss(0, 0.1) + (0.3 if k % 500 > 300 else 0)
+            held, cut = np.append(held, x)[-most:], None
+            n, sums = len(held), np.cumsum(held)
+            if n >= 32:
+                at = np.arange(16, n - 15)
+                hits = np.flatnonzero(np.abs(sums[at - 1] / at - (sums[-1] - sums[at - 1]) / (n - at)) > np.ptp(held) * np.sqrt(np.log(4 * n / 0.002) * (1 / at + 1 / (n - at)) / 2))
+                cut = at[hits[0]] if len(hits) else None
+            held = held if cut is None else held[cut:]
+            assert own.push(x) == (cut is not None) and len(own.values) == len(held)
+        assert (own.values == held).all()
