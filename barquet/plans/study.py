@@ -491,7 +491,7 @@ def bias_grid(spark, sf_dir):
 
 @query("structure_scores")
 def structure_scores(spark, sf_dir):
-    bars = settled(M.prepared(lineitem_bars(spark, sf_dir)))
+    bars = settled(I.recursive(I.bands(lineitem_bars(spark, sf_dir))).select(*KEY, "o", "h", "l", "c", "v", "atr14", "bb_width"))  # all that the structure is read from
     last = bars.groupBy(*SERIES).agg(F.max("t").alias("t"))
     return rounded(G.fuse(G.stacked(bars), last), ["score", "confidence", "probability"], 5)
 

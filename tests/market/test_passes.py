@@ -99,3 +99,8 @@ def test_drift_is_one_arrow_pass_with_the_cuts_of_a_plain_window(bars):
             held = held if cut is None else held[cut:]
             assert own.push(x) == (cut is not None) and len(own.values) == len(held)
         assert (own.values == held).all()
+
+
+def test_structure_scores_read_no_columns_of_modules(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(M, "prepared", None)
+    assert study.structure_scores(spark, sf_dir).columns
