@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ranks
+from ..functions.series import settled
 from .statistics import calibration_report, walk_forward
 
 
@@ -36,7 +37,7 @@ def apply_isotonic(model, df: DataFrame, score: str = "score", out: str = "p") -
 
 def compare_calibrators(df: DataFrame) -> DataFrame:
     """Brier, log loss and ECE of raw, Platt and isotonic probabilities (score, y) on the last 30 % of each series, fitted on the rest."""
-    split = walk_forward(df, 0.7, 0.0)
+    split = settled(walk_forward(df, 0.7, 0.0).select("score", "y", "split"))  # read by each fit and each way
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     ways = {"raw": test.withColumn("p", F.col("score")), "platt": apply_platt(fit_platt(train), test), "isotonic": apply_isotonic(fit_isotonic(train), test)}
     out = None

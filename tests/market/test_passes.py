@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barquet.functions.series import rounded
 from barquet.operators import indicators as I
+from barquet.operators import learning as L
 from barquet.operators import predictions
 from barquet.operators import scoring as M
 from barquet.operators import statistics as T
@@ -104,3 +105,8 @@ def test_drift_is_one_arrow_pass_with_the_cuts_of_a_plain_window(bars):
 def test_structure_scores_read_no_columns_of_modules(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(M, "prepared", None)
     assert study.structure_scores(spark, sf_dir).columns
+
+
+def test_calibrators_read_their_split_from_one_settled_table(bars):
+    rows = bars.selectExpr("symbol", "tf", "t", "v / 10 as score", "cast(c > o as int) as y")
+    assert "Window" not in _plan(L.compare_calibrators(rows))
