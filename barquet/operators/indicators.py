@@ -89,21 +89,31 @@ def vwap(df: DataFrame, n: int = 20, anchor_ms: int = DAY_MS) -> DataFrame:
 
 def volume(df: DataFrame, n_cmf: int = 20, n_mfi: int = 14) -> DataFrame:
     """OBV, Chaikin money flow, money flow index (100 without negative flow), volume against its mean."""
+    return flows(balance(df), n_cmf, n_mfi)
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """OBV alone: the one of the volume's columns that looks back without end."""
     w = in_order()
     before = F.lag("c").over(w)
     signed = F.when(before.isNull(), 0.0).when(F.col("c") > before, F.col("v")).when(F.col("c") < before, -F.col("v")).otherwise(0.0)
+    return df.withColumn("_signed", signed).withColumn("obv", F.sum("_signed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_signed")
+
+
+def flows(df: DataFrame, n_cmf: int = 20, n_mfi: int = 14) -> DataFrame:
+    """The volume's columns but OBV: none looks further back than its number of bars."""
+    w = in_order()
     span, tp = F.col("h") - F.col("l"), (F.col("h") + F.col("l") + F.col("c")) / 3
-    df = df.withColumns({"_signed": signed, "_mfv": F.when(span == 0, 0.0).otherwise(((F.col("c") - F.col("l")) - (F.col("h") - F.col("c"))) / span * F.col("v")), "_tp": tp})
+    df = df.withColumns({"_mfv": F.when(span == 0, 0.0).otherwise(((F.col("c") - F.col("l")) - (F.col("h") - F.col("c"))) / span * F.col("v")), "_tp": tp})
     last_tp = F.lag("_tp").over(w)
     df = df.withColumns({"_up": F.when(F.col("_tp") > last_tp, F.col("_tp") * F.col("v")).otherwise(0.0), "_down": F.when(F.col("_tp") < last_tp, F.col("_tp") * F.col("v")).otherwise(0.0)})
     up, down = F.sum("_up").over(last_rows(n_mfi)), F.sum("_down").over(last_rows(n_mfi))
     total = F.sum("v").over(last_rows(n_cmf))
     return df.withColumns({
-        "obv": F.sum("_signed").over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "cmf20": full(n_cmf, F.when(total == 0, 0.0).otherwise(F.sum("_mfv").over(last_rows(n_cmf)) / total)),
         "mfi14": full(n_mfi + 1, F.when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / down))),
         "rel_volume": full(20, F.when(F.avg("v").over(last_rows(20)) > 0, F.col("v") / F.avg("v").over(last_rows(20)))),
-    }).drop("_signed", "_mfv", "_tp", "_up", "_down")
+    }).drop("_mfv", "_tp", "_up", "_down")
 
 
 def return_std(df: DataFrame, n: int = 20) -> DataFrame:

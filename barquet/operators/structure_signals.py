@@ -2,7 +2,7 @@
 
 Each function takes ``last`` (symbol, tf, t, i, c, atr14: one row a series) and structure tables, and
 gives (symbol, tf, module, signal, confidence), so they stack by union and join the score by weight.
-``of_last_bars`` makes the tables and gives all of them in columns.
+``stacked`` makes the tables and gives all of them, ``in_columns`` puts them side by side.
 """
 
 from __future__ import annotations
@@ -107,18 +107,23 @@ def chart_patterns(found: DataFrame) -> DataFrame:
     return _out(newest, "chart-patterns", side * conf * F.when(F.col("p.broken"), 1.0).otherwise(0.6), conf)
 
 
+#: Bars from a series' end on that ``displacements`` reads: 80 and 12 that it marks, and the 103 before these that tell whether they are calm.
+DISPLACEMENT_BARS = 200
+
+
 def displacements(bars: DataFrame, breaks: DataFrame, swept: DataFrame, gaps: DataFrame, within: int = 80) -> DataFrame:
     """(symbol, tf, inducement_i, swept_i, i, side, wick, volume): calm, a weak break, its sweep, then a turn with a gap and volume.
 
     ``bars`` with atr14, bb_width; the turn lies in the last ``within`` bars of its series. A weak break
     (under 1.5 true ranges) follows a compressed bar; within five bars a wick of 1.5 bodies goes beyond
     its level and closes back; within six the structure turns, with a gap of its side and 1.5 times the
-    usual volume. Only breaks, sweeps and gaps near the end meet, so the joins stay small.
+    usual volume. Only breaks, sweeps and gaps near the end meet, so the joins stay small. ``bars`` with i may
+    be the last ``DISPLACEMENT_BARS`` of each series.
     """
     w = in_order()
     body, upper, lower = F.abs(F.col("c") - F.col("o")), F.col("h") - F.greatest("o", "c"), F.least("o", "c") - F.col("l")
     long_ = lambda wick: F.when(wick > 0, F.when(body <= 1e-12, float("inf")).otherwise(wick / body)).otherwise(0.0)
-    b = X.compression(bars).withColumns({"i": index(), "_rest": F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("t"))) - 1, "_calm": F.col("compressed") | F.coalesce(F.lag("compressed").over(w), F.lit(False)), "_up": long_(upper), "_low": long_(lower), "_mean": F.avg("v").over(last_rows(20))})
+    b = X.compression(bars).withColumns({"i": F.col("i") if "i" in bars.columns else index(), "_rest": F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("t"))) - 1, "_calm": F.col("compressed") | F.coalesce(F.lag("compressed").over(w), F.lit(False)), "_up": long_(upper), "_low": long_(lower), "_mean": F.avg("v").over(last_rows(20))})
     b = b.filter(F.col("_rest") <= within + 12).select(*SERIES, "i", "_rest", "h", "l", "c", "atr14", "_calm", "_up", "_low", F.when(F.col("_mean") > 0, F.col("v") / F.col("_mean")).alias("_rel"))
     marks = breaks.join(b, [*SERIES, "i"])
     weak = marks.filter((F.col("type") == "BoS") & (F.col("atr14") > 0) & (F.abs(F.col("c") - F.col("level")) < 1.5 * F.col("atr14"))).select(*SERIES, F.col("i").alias("inducement_i"), "dir", "level", "_calm")
@@ -156,12 +161,16 @@ def stacked(bars: DataFrame) -> DataFrame:
     """
     bars = bars.select(*SERIES, "t", "o", "h", "l", "c", "v", "atr14", "bb_width")
     last = settled(bars.groupBy(*SERIES).agg(F.max_by(F.struct("t", "c", "atr14"), "t").alias("b"), (F.count("*") - 1).alias("i")).select(*SERIES, "b.*", "i"))
-    events = settled(S.structure_events(bars))
+    return of_events(settled(S.structure_events(bars)), last, bars, bars)
+
+
+def of_events(events: DataFrame, last: DataFrame, ranges: DataFrame, bars: DataFrame) -> DataFrame:
+    """``stacked`` out of the structure: ``last`` (symbol, tf, t, i, c, atr14) and ``ranges`` (h, l, t, c) a row a series or more, ``bars`` those that ``displacements`` reads."""
     piv, swept, gaps, breaks, blocks = (S.of_tag(events, k) for k in ("pivot", "pool", "gap", "break", "block"))
     tol = lambda k: last.select(*SERIES, (_range(last) * k).alias("tolerance"))
     ends = last.select(*SERIES, F.col("i").alias("last_i"), "c", _range(last).alias("atr14"))
     parts = [
-        support_resistance(last, S.sr_levels(piv, tol(0.5))), order_blocks(last, blocks), liquidity(last, swept), premium_discount(S.premium_discount(bars, piv)),
+        support_resistance(last, S.sr_levels(piv, tol(0.5))), order_blocks(last, blocks), liquidity(last, swept), premium_discount(S.premium_discount(ranges, piv)),
         trendline(last, S.trendlines(piv, tolerance=tol(0.5))), chart_patterns(X.chart_patterns(piv, ends)), cisd(last, displacements(bars, breaks, swept, gaps)),
     ]
     out = parts[0]
@@ -170,10 +179,10 @@ def stacked(bars: DataFrame) -> DataFrame:
     return out
 
 
-def of_last_bars(bars: DataFrame) -> DataFrame:
+def in_columns(signals: DataFrame) -> DataFrame:
     """(symbol, tf, s_<module>, c_<module>...) of ``stacked``."""
     each = lambda x, m: F.max(F.when(F.col("module") == m, F.col(x)))
-    return stacked(bars).groupBy(*SERIES).agg(*[each(x, m).alias(f"{x[0]}_{m}") for m in WEIGHTS for x in ("signal", "confidence")])
+    return signals.groupBy(*SERIES).agg(*[each(x, m).alias(f"{x[0]}_{m}") for m in WEIGHTS for x in ("signal", "confidence")])
 
 
 def session_multiplier(t: Column, in_event: Column | None = None) -> Column:
