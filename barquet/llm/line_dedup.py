@@ -29,6 +29,8 @@ WIDTH = 10
 THRESHOLD = 0.8
 BANDS = 8
 ROWS = 4
+#: Bands that share a row of minima.
+PER_ROW = 2
 #: Hashes of a line that count, about.
 DEPTH = 3 * BANDS * ROWS
 #: Positions that one array holds, so that a very long line isn't one array.
@@ -45,9 +47,8 @@ HOT_SHARE = 0.001
 BIN_BITS, VALUE_BITS = 5, 24
 
 
-def normal(line: Column) -> Column:
-    """Lower case, single spaces; the pattern is only run where there is something to replace."""
-    line = F.trim(F.lower(line))
+def _single_spaces(line: Column) -> Column:
+    """Single spaces; the pattern is only run where there is something to replace."""
     odd = [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\u00a0")]
     return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.trim(F.regexp_replace(line, r"[\s\u00a0]+", " "))).otherwise(line)
 
@@ -61,6 +62,11 @@ def _shingles(lines: DataFrame) -> DataFrame:
     return x.select(*own, F.explode(F.sequence("_from", F.least(F.col("_from") + (STEP - 1), last))).alias("at"))
 
 
+def _once(**columns: Column) -> Column:
+    """``columns`` for a select, behind a generator of one row: else the optimizer repeats a costly one in each place that reads it."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def _keys() -> list[Column]:
     """A document is known by its id and text, so that repeated rows are one and rows that only share the id are not."""
     return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
@@ -68,39 +74,45 @@ def _keys() -> list[Column]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line, h1, h2) for each line: its normal form and two hashes of that. A null text has none."""
-    lines = docs.filter(F.col("text").isNotNull()).select(*_keys(), F.posexplode(F.split("text", "\n")).alias("line_no", "_raw"))
-    lines = lines.select("doc_id", "text_hash", "line_no", normal(F.col("_raw")).alias("line"))
+    docs = docs.filter(F.col("text").isNotNull()).select(*_keys(), "text")  # before the lines: a text is hashed once, not once a line
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "_raw"))
+    lines = lines.select("doc_id", "text_hash", "line_no", _once(_low=F.trim(F.lower("_raw"))))
+    lines = lines.select("doc_id", "text_hash", "line_no", _once(line=_single_spaces(F.col("_low"))))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line")))
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(h1, b0, b1, ...) of each different line but blank ones: a hash of each band's minima, null where a band has none.
+    """(h1, b0, b1) of each different line but blank ones: hashes of two bands' minima a row, null where a band has none.
 
     One generated row a shingle runs within one stage of compiled code and ends in a partial aggregate.
+    A shingle only looks at the minima of its own two bands: a line has a group for each two.
     """
-    bins, depth = bands * rows, DEPTH * bands * rows // (BANDS * ROWS)
+    bins, depth, wide = bands * rows, DEPTH * bands * rows // (BANDS * ROWS), PER_ROW * rows
     if bins > 1 << BIN_BITS:
         raise ValueError(f"more than {1 << BIN_BITS} minima")
-    x = lines.filter("line != ''").select("h1", F.encode("line", "UTF-32").alias("b"))
+    x = lines.filter("line != ''").select("h1", _once(b=F.encode("line", "UTF-32")))
     x = x.select("h1", "b", F.greatest(F.lit(1), F.shiftright(F.octet_length("b"), 2) - (WIDTH - 1)).alias("n"))
-    x = x.select("h1", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(depth) / F.col("n")).cast("long") - 1)).alias("level"))
-    x = _shingles(x).select("h1", "n", "level", F.xxhash64(F.substring("b", 4 * F.col("at") + 1, F.lit(4 * WIDTH)), "level").alias("h"))
+    x = x.select("h1", "b", (F.lit(depth << VALUE_BITS) / F.col("n")).cast("long").alias("below"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(depth) / F.col("n")).cast("long") - 1)).alias("level"))
+    x = _shingles(x).select("h1", "below", "level", F.xxhash64(F.substring("b", 4 * F.col("at") + 1, F.lit(4 * WIDTH)), "level").alias("h"))
     value = F.shiftleft("level", VALUE_BITS) + F.col("h").bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
-    x = x.select("h1", "n", F.shiftrightunsigned("h", 64 - BIN_BITS).alias("bin"), value.alias("value"))
-    x = x.filter(F.col("value") < (F.lit(depth << VALUE_BITS) / F.col("n")).cast("long"))
-    least = x.groupBy("h1").agg(*[F.min(F.when(F.col("bin") == k, F.col("value"))).cast("int").alias(f"m{k}") for k in range(bins)])
-    names = [[f"m{k}" for k in range(b * rows, (b + 1) * rows)] for b in range(bands)]
-    each = [F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(m, F.lit(-1)) for m in own])).alias(f"b{b}") for b, own in enumerate(names)]
+    x = x.select("h1", "below", F.shiftrightunsigned("h", 64 - BIN_BITS).cast("int").alias("bin"), value.alias("value")).filter(F.col("value") < F.col("below"))
+    x = (x if bins == 1 << BIN_BITS else x.filter(F.col("bin") < bins)).select("h1", (F.col("bin") / wide).cast("int").alias("g"), F.pmod("bin", F.lit(wide)).alias("bin"), "value")
+    least = x.groupBy("h1", "g").agg(*[F.min(F.when(F.col("bin") == k, F.col("value"))).cast("int").alias(f"m{k}") for k in range(wide)])
+    names = [[f"m{k}" for k in range(b * rows, (b + 1) * rows)] for b in range(PER_ROW)]
+    each = [F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.col("g") * PER_ROW + b, *[F.coalesce(m, F.lit(-1)) for m in own])).alias(f"b{b}") for b, own in enumerate(names)]
     return least.select("h1", *each)
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """(band, h1, next, first, last) of each line in each band of two or more; next: the line's hash of another band."""
+    """(band, h1, next, first, last, n) of each line in each band of two or more, of n in all; next: the line's hash of another band.
+
+    signed: h1 and hashes of bands, in one row or several. Its rows are shuffled once, for the bands' sizes and for the join with these.
+    """
     bands = [c for c in signed.columns if c != "h1"]
     each = [F.struct(F.col(b).alias("band"), F.coalesce(bands[(k + 1) % len(bands)], b).alias("next")) for k, b in enumerate(bands)]
-    rows = signed.select("h1", F.explode(F.array(*each)).alias("x")).select("h1", "x.band", "x.next").filter("band is not null")
-    shared = rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first < last")
-    return common.cut(rows.join(_small(common.cut(shared)), "band"))
+    rows = signed.select("h1", F.inline(F.array(*each))).filter("band is not null").repartition("band")
+    shared = rows.groupBy("band").agg(F.min("h1").alias("first"), F.max("h1").alias("last"), F.count("next").alias("n")).filter("first < last")
+    return common.cut(rows.join(shared.hint("shuffle_hash"), "band"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -109,9 +121,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     In a band of more than two lines, each meets the band's first line and its ``NEIGHBOURS``
     predecessors in the order of the next band's hash.
     """
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 2")
     pairs = rows.filter("h1 = last").select(F.col("h1").alias("u"), F.col("first").alias("v"))
-    more = rows.join(sizes, "band").withColumn("salt", F.when(F.col("n") > BAND_ROWS, F.pmod(F.col("next"), F.ceil(F.col("n") / BAND_ROWS))).otherwise(F.lit(0)))
+    more = rows.filter("n > 2").withColumn("salt", F.when(F.col("n") > BAND_ROWS, F.pmod(F.col("next"), F.ceil(F.col("n") / BAND_ROWS))).otherwise(F.lit(0)))
     w = Window.partitionBy("band", "salt").orderBy("next", "h1")
     near = more.select("h1", F.array(F.col("first"), *[F.lag("h1", k).over(w) for k in range(1, NEIGHBOURS + 1)]).alias("others")).select("h1", F.explode("others").alias("other"))
     near = near.filter("other is not null and h1 != other").select(F.greatest("h1", "other").alias("u"), F.least("h1", "other").alias("v"))
@@ -125,20 +136,22 @@ def apart(rows: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float
     A line's set of shingles is made once a band and travels with it. A large band is divided into
     parts, and each pair of parts is joined by itself.
     """
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > NEIGHBOURS + 1)  # in smaller ones all lines were neighbours
-    own = rows.join(sizes, "band").select("band", "h1").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("root", "h1").alias("c"))
+    own = rows.filter(F.col("n") > NEIGHBOURS + 1).select("band", "h1")  # in smaller ones all lines were neighbours
+    own = own.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("root", "h1").alias("c"))
     mixed = own.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     parts = F.ceil(F.col("n") / BAND_ROWS).cast("int")
     own = common.cut(own.join(mixed.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int")))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    cells = own.join(texts, "h1").select("band", "h1", "c", "part", _set(F.col("line")).alias("s"), F.explode(cells).alias("x")).select("band", "h1", "c", "part", "s", "x.i", "x.j")
+    bands = own.groupBy("h1").agg(F.collect_list("band").alias("bands"))  # a line has BANDS at most
+    cells = own.join(texts.join(bands, "h1"), "h1").select("band", "bands", "h1", "c", "part", F.array_distinct(_hashes(F.col("line"))).alias("s"), F.explode(cells).alias("x")).select("band", "bands", "h1", "c", "part", "s", "x.i", "x.j")
     a, b = cells.alias("a"), cells.alias("b")
     met = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("band", "i", "j")]
     once = (F.col("a.part") != F.col("b.part")) | (F.col("a.i") == F.col("a.j"))
     n = F.size("a.s") + F.size("b.s")
     open_ = once & (F.col("a.h1") > F.col("b.h1")) & (F.col("a.c") != F.col("b.c")) & (F.least(F.size("a.s"), F.size("b.s")) >= threshold * F.greatest(F.size("a.s"), F.size("b.s")))
-    # alike if the common shingles are threshold / (1 + threshold) of both sets' sizes; only looked at for open pairs
-    share = F.when(open_, F.size(F.array_intersect("a.s", "b.s")) / n)
+    first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")
+    # alike if the common shingles are threshold / (1 + threshold) of both sets' sizes; only looked at for open pairs, in the first band that they share
+    share = F.when(open_ & first, F.size(F.array_intersect("a.s", "b.s")) / n)
     links = a.join(b, met[0] & met[1] & met[2] & (share >= threshold / (1 + threshold) - 1e-12))
     return links.select(F.col("a.h1").alias("u"), F.col("b.h1").alias("v")).distinct()
 
@@ -150,18 +163,20 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def similar_lines(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(u, v, similarity) of those ``pairs`` (u, v) that are alike; texts: (h1, line) of their lines, once each."""
-    # the texts travel, not their shingles: these are many times as long
-    both = pairs.join(texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h1").alias("v"), F.col("line").alias("b")), "v")
-    sets = both.select("u", "v", _set(F.col("a")).alias("a"), _set(F.col("b")).alias("b"))
-    alike = sets.withColumn("both", F.size(F.array_intersect("a", "b")))
-    return alike.select("u", "v", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    # the texts travel, not their shingles: these are many times as long; a line has few candidates, so those of one u are hashed against it in one row
+    others = pairs.join(texts.select(F.col("h1").alias("v"), F.col("line").alias("b")), "v").groupBy("u").agg(F.collect_list(F.struct("v", "b")).alias("others"))
+    both = others.join(texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), "u").select("u", "others", _once(a=F.array_distinct(_hashes(F.col("a")))))
+    hashes = both.select("u", "a", F.inline("others")).select("u", "v", "a", _once(b=_hashes(F.col("b"))))
+    met = hashes.select("u", "v", "a", "b", _once(both=F.size(F.array_intersect("a", "b")))).filter(F.col("both") / F.size("a") >= threshold)  # the union is as large as a at least
+    alike = met.select("u", "v", _once(similarity=F.col("both") / F.size(F.array_union("a", "b"))))
+    return alike.filter(F.col("similarity") >= threshold)
 
 
-def _set(line: Column) -> Column:
-    """The different hashes of a line's shingles."""
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's shingles, repeated ones too."""
     wide = F.array(F.encode(line, "UTF-32"))
     places = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * WIDTH + 1), F.lit(4))
-    return F.array_distinct(F.transform(wide, lambda b: F.transform(places(b), lambda at: F.xxhash64(F.substring(b, at, 4 * WIDTH))))[0])
+    return F.transform(wide, lambda b: F.transform(places(b), lambda at: F.xxhash64(F.substring(b, at, 4 * WIDTH))))[0]
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -193,7 +208,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     lines = lines_of(docs.select("doc_id", "text"))
     places = common.cut(lines.select("doc_id", "text_hash", "line_no", F.when(F.col("line") != "", F.col("h1")).alias("h1"), "h2"))
-    roots = alike(lines, common.cut(signatures(lines)), threshold)
+    roots = alike(lines, signatures(lines), threshold)
     place = F.struct("doc_id", "line_no", "text_hash")
     # equal lines are one before they meet their class, so that a common line is no skewed key
     own = places.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))

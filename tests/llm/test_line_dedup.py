@@ -182,3 +182,41 @@ def test_every_pair_of_a_hot_band_is_compared(spark, monkeypatch):
         got = {x.node: x.root for x in line_dedup.alike(own, signed).collect()}
         names = {x.doc_id: x.h1 for x in own.collect()}
         assert all(got[names[2 * k]] == got[names[2 * k + 1]] == min(names[2 * k], names[2 * k + 1]) for k in range(n))
+
+
+def plan_of(df, mode="executedPlan"):
+    return str(getattr(df._jdf.queryExecution(), mode)().toString())
+
+
+def test_costly_columns_are_made_once(spark):
+    """The optimizer repeats a projected column in each filter and column that reads it, unless something keeps it."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    lines = line_dedup.lines_of(docs)
+    signed = plan_of(line_dedup.signatures(lines), "optimizedPlan")
+    assert signed.lower().count("encode(") == 1 and signed.count("lower(") == 1
+    texts, pairs = lines.select("h1", "line"), spark.createDataFrame([], "u long, v long")
+    alike = plan_of(line_dedup.similar_lines(texts, pairs), "optimizedPlan")
+    assert alike.count("array_intersect(") == 1 and alike.count("array_union(") == 1 and alike.count("Encode.encode(") == 2
+
+
+def test_rows_of_bands_are_shuffled_once(spark):
+    """The sizes of bands and the lines in them come out of one shuffle, whatever the number of shared bands."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    signed = line_dedup.signatures(line_dedup.lines_of(docs))
+    assert len([c for c in signed.columns if c != "h1"]) == line_dedup.PER_ROW
+    got = line_dedup.shared_bands(signed).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.band, set()).add(r.h1)
+    assert got and all((r.first, r.last, r.n) == (min(m := members[r.band]), max(m), len(m)) and r.n > 1 for r in got)
+
+
+def test_similarity_counts_different_shingles(spark):
+    r = random.Random(12)
+    made = [words(r, "ab", r.randint(5, 60)) for _ in range(12)]
+    made += ["word " * 30 + "x", "word " * 20 + "x", "naïve 日本語 😀 " * 4, "naïve 日本語 😀 " * 3 + "naïve 日本語 ! "] + [x + "a" for x in made]
+    made = sorted({normal(x) for x in made})
+    texts = spark.createDataFrame(list(enumerate(made)), "h1 long, line string")
+    pairs = [(u, v) for u in range(len(made)) for v in range(u)]
+    got = {(x.u, x.v): x.similarity for x in line_dedup.similar_lines(texts, spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {(u, v): similarity(made[u], made[v]) for u, v in pairs if similarity(made[u], made[v]) >= line_dedup.THRESHOLD}
