@@ -13,7 +13,7 @@ from ..operators import structure as S
 from ..sources.bars import event_bars, lineitem_bars, table
 from .market import ORACLE_SQL as MARKET_SQL
 from .sql import BARS, PIVOTS
-from .study import feature_matrix
+from .study import features
 
 KEY = [*SERIES, "t"]
 QUERIES: dict = {}
@@ -76,7 +76,7 @@ def regime_states(spark, sf_dir):
 
 @query("latest_feature_z")
 def latest_feature_z(spark, sf_dir):
-    return rounded(R.latest_feature_z(feature_matrix(spark, sf_dir), X.NAMES), ["raw", "z"], 4)
+    return rounded(R.latest_feature_z(features(spark, sf_dir), X.NAMES), ["raw", "z"], 4)
 
 
 @query("universe_counts", "select n_name as type, count(*) n from supplier join nation on s_nationkey = n_nationkey group by rollup (n_name)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import DAY_MS, SERIES, in_order, rounded, settled
+from ..functions.series import DAY_MS, SERIES, in_order, rounded, settled, stored
 from ..operators import cleaning as C
 from ..operators import features as X
 from ..operators import indicators as I
@@ -411,18 +411,15 @@ def anti_patterns(spark, sf_dir):
     return rounded(L.anti_patterns(emb, k=4).drop("centroid"), ["radius", "hit_rate"], 4)
 
 
-def _full(spark, sf_dir) -> DataFrame:
-    """Bars with all that features read; the windows come before the recursive pass, and what isn't read doesn't go through it."""
-    windows = I.moving(I.stochastic(I.volume(I.bands(S.indexed(lineitem_bars(spark, sf_dir))))))
-    return I.recursive(windows.select(*KEY, "i", *[c for c in X.READ if c in windows.columns])).select(*KEY, "i", *X.READ)
+def features(spark, sf_dir) -> DataFrame:
+    """The features of all bars, out of one pass over each series: only order lines are shuffled."""
+    return rounded(X.features_of(I.moving(I.stochastic(I.volume(I.bands(S.indexed(lineitem_bars(spark, sf_dir))))))), X.NAMES, 5)
 
 
 @query("feature_matrix")
 def feature_matrix(spark, sf_dir):
-    bars = settled(_full(spark, sf_dir))
-    events = settled(S.structure_events(bars))
-    piv, breaks, zones, blocks = (S.of_tag(events, k) for k in ("pivot", "break", "gap", "block"))
-    return rounded(X.feature_matrix(bars, breaks, zones, blocks, piv), X.NAMES, 5)
+    """Settled as they are returned, so that whoever reads them twice doesn't make them twice."""
+    return stored(features(spark, sf_dir))
 
 
 @query("wyckoff")
