@@ -13,7 +13,8 @@ minimizer that very many texts have (``HOT``) are dealt by their own bytes inste
 
 In its task, different stretches come in batches, in the order of documents. A batch gets a suffix
 array, is merge-scanned against the levels that are there, and joins them as a new level; levels of
-like size merge, so that n batches have about log n levels.
+like size merge, so that n batches have about log n levels. A batch is as large as all before it, so
+that a suffix is sorted a few times for each doubling of its part, not once for each batch.
 
 Texts travel once, compressed, to buckets of about ``BUCKET_BYTES``; the number of buckets, and of
 parts of the family, follows the bytes of the corpus, so that no task's share grows with it.
@@ -35,8 +36,8 @@ from . import common
 
 LENGTH = 50
 GRAM = 16
-#: Suffixes of a batch, about.
-BATCH = 1 << 19
+#: Suffixes of the first batch, about: those of a part mostly are one. A later one has as many as there are before it.
+BATCH = 1 << 23
 #: Strings of a stretch at most; longer runs (periodic texts) are several stretches.
 STRETCH = 64
 #: Bytes of different texts in a bucket, and in a part of the family, about; a task needs some twenty times as much memory.
@@ -127,6 +128,23 @@ _LISTS_DDL = "bucket int, kind int, a binary, b binary, c binary"
 IDS, KEYS, HOTS, RANGES, STRINGS = range(5)
 
 
+#: Bytes of a slice that goes to one of many buckets or parts, about, and of the batches that are held for it at most.
+SLICE_BYTES, HELD_BYTES = 16 << 10, 32 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` bytes or ``HELD_BYTES``, about: with many buckets, each batch has next to nothing for one of them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= min(size, HELD_BYTES):
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(rows, h1) of a batch's different texts; the batch has columns h1, h2, text."""
     h = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
@@ -141,7 +159,7 @@ def _anchors(n: int) -> Callable:
     its number of texts instead of a text tells the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, n * SLICE_BYTES):
             rows, h1 = _distinct(batch)
             row, _, _, h = _runs_of(*common.utf8(batch.column(2).take(pa.array(rows))))
             if not len(h):
@@ -214,7 +232,7 @@ def _ship(n: int) -> Callable:
     """(bucket, blob) of the different texts of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, n * SLICE_BYTES):
             rows, h1 = _distinct(batch)
             order, slices = _slices((h1 % n).astype(np.int64))
             out = []
@@ -232,7 +250,7 @@ def _ids(n: int) -> Callable:
     """Lists (bucket, IDS, h1, h2, smallest ids) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, n * SLICE_BYTES // 16):  # an id and hashes have few bytes
             h1, h2, ids = (batch.column(k).to_numpy() for k in range(3))
             order, slices = _slices((h1 % n).astype(np.int64))
             h1, h2, ids = h1[order], h2[order], ids[order]
@@ -399,7 +417,8 @@ def _first_documents(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
     ends = np.cumsum(size)
     least, a = [np.zeros(0, np.int64)], 0
     while a < len(size):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, side="right")))
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + max(BATCH, done), side="right")))
         n = size[a:b]
         at = np.repeat(begin[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         least.append(family.add(at, np.repeat(doc[a:b], n)))
